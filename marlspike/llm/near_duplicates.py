@@ -11,9 +11,11 @@ Large buckets are never expanded into pairs:
 1. in each bucket all members are compared with its smallest member only (a star), links are confirmed on full sets, and
    connected components are taken. Groups of near copies collapse here;
 2. buckets whose members still lie in several components: up to SMALL members, all pairs between components are compared;
-3. larger ones: an exact prefix-filter join over the members' sets (rarest shingles first) finds every remaining pair with a
-   similarity of 0.75 or more. A passage that many documents share is frequent, so it comes last in that order and yields no
-   candidates.
+3. larger ones: an exact prefix filter over the members' sets (rarest shingles first): two sets that are similar enough
+   share a shingle of their prefixes. A passage that many documents share is frequent, so it comes last in that order and
+   yields nothing. Up to SMALL members that share a prefix shingle are compared pair by pair. More of them are a family of
+   overlapping near copies: it is dealt to blocks of about BLOCK members, each pair of blocks is one task that multiplies
+   their incidence matrices, and only a spanning forest of the links that it finds leaves the task.
 
 Every step writes its table to the shared folder. Nothing is collected but the count of edges per round.
 """
@@ -34,6 +36,8 @@ NUM, DEN = 75, 100  # linked if DEN * intersection >= NUM * union
 CHUNKS, CHUNK, ERRORS = 10, 4, 1
 K = CHUNKS * CHUNK
 SMALL = 32
+BLOCK = 384
+COLUMNS = 8192  # shingles that a block's matrix holds at once
 MEMO = 500_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -149,23 +153,22 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds; a round moves as many rows as there are edges, and their number falls to
     one per node. Hubs are no problem: minima are pre-aggregated, and joins go to a node's edges and its single minimum.
     """
-    state, edges = None, cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         edges = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        low = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
-        grown = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(grown, "small")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        low = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "low")
+        if not low.where("c > 1").isEmpty() or not edges.join(low, edges["v"] == low["u"], "left_semi").isEmpty():
+            grown = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+            edges = cut(grown.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "small")
+        else:  # every node has one edge, to a node that has none: stars
             break
-        state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _prefix_pairs(index: _Index, members: DataFrame) -> DataFrame:
-    """(a, b) candidates of different components among members (node, root): all that can reach the threshold are there."""
+def _prefix_pairs(index: _Index, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of members (node, root): candidates (a, b) of different components, and links (a, b) that are confirmed already."""
     sets = index.sets(members.select("node"))
 
     def burst(batches):
@@ -180,11 +183,58 @@ def _prefix_pairs(index: _Index, members: DataFrame) -> DataFrame:
     need = F.ceil(F.col("n") * NUM / DEN)
     ranked = tokens.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rn", F.row_number().over(order))
     prefix = cut(ranked.where((F.col("rn") <= F.col("n") - need + 1) & (F.col("df") > 1)).join(members, "node").select("shingle", "node", "root", "n"), "prefix")
-    live = cut(prefix.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle"), "live")
+    live = cut(prefix.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("shingle", "first", "size"), "live")
     post = cut(prefix.join(live, "shingle"), "post")
-    x, y = post.alias("x"), post.alias("y")
+    x, y = post.where(F.col("size") <= SMALL).alias("x"), post.where(F.col("size") <= SMALL).alias("y")
     near = DEN * F.least("x.n", "y.n") >= NUM * F.greatest("x.n", "y.n")
-    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    ties = post.where((F.col("size") > SMALL) & (F.col("first") != F.col("node"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    return pairs, _family_links(cut(components(ties), "families").withColumnRenamed("root", "family"), members, sets)
+
+
+def _family_links(families: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between components within families (node, family), enough of them to join all that belong together."""
+    dealt = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = families.join(cut(dealt, "dealt"), "family").join(members, "node").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j"))))
+    rows = rows.select("family", meets.alias("m"), "block", "node", "root", "set").select("family", "m.i", "m.j", "block", "node", "root", "set")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
+        held = [np.frombuffer(x.as_py(), "<u8") for x in table.column("set")]
+        n, size = len(node), np.array([len(x) for x in held])
+        shingle, row = np.concatenate(held), np.repeat(np.arange(n), size)
+        order = np.argsort(shingle, kind="stable")
+        shingle, row = shingle[order], row[order]
+        column = np.concatenate(([0], np.cumsum(shingle[1:] != shingle[:-1])))
+        both = np.zeros((n, n), np.float32)
+        at = 0
+        while at < len(row):
+            end = np.searchsorted(column, column[at] + COLUMNS)
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[row[at:end], column[at:end] - column[at]] = 1
+            both += m @ m.T
+            at = end
+        linked = DEN * both.astype(np.int64) >= NUM * (size[:, None] + size[None, :] - both.astype(np.int64))
+        group = {r: i for i, r in enumerate(dict.fromkeys(root))}
+        mine = np.array([group[r] for r in root])
+        p, q = np.nonzero(np.triu(linked & (mine[:, None] != mine[None, :]), 1))
+        up = list(range(len(group)))
+
+        def find(i: int) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        out = []
+        for i, j in zip(p.tolist(), q.tolist(), strict=True):
+            u, v = find(mine[i]), find(mine[j])
+            if u != v:
+                up[u] = v
+                out.append((node[i], node[j]))
+        return pa.table([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["a", "b"])
+
+    return cut(rows.groupBy("family", "i", "j").applyInArrow(run, "a binary, b binary"), "family-links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -215,7 +265,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     many = cut(rest.where(F.col("size") > SMALL).select("node", "root").distinct(), "many")
     late = few.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     if not many.isEmpty():
-        late = late.unionByName(_prefix_pairs(index, many)).distinct()
+        pairs, sure = _prefix_pairs(index, many)
+        late, links = late.unionByName(pairs).distinct(), links.unionByName(sure)
     roots = cut(components(links.unionByName(index.confirm(late))), "roots")
 
     known = cut(roots.join(classes, "node").select("node", "root", "low"), "known")
