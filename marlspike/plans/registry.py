@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from marlspike.plans import retrieval
+
+_PARTS = (retrieval,)
+QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLE_SQL: dict = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}
