@@ -77,7 +77,7 @@ def discordant(scores: DataFrame, first: str, second: str, k: int) -> DataFrame:
     """(improved, regressed): questions that only the second, only the first arm hits within k."""
     ok = F.coalesce(F.col("rank") <= k, F.lit(False))
     both = scores.where(F.col("arm").isin(first, second)).groupBy("qid").agg(F.max(F.when(F.col("arm") == first, ok)).alias("a"), F.max(F.when(F.col("arm") == second, ok)).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return both.agg(F.count_if("b AND NOT a").alias("improved"), F.count_if("a AND NOT b").alias("regressed"))
+    return both.agg(F.count_if(F.expr("b AND NOT a")).alias("improved"), F.count_if(F.expr("a AND NOT b")).alias("regressed"))
 
 
 def detectable(n: Column, rate: float = DISCORDANT) -> Column:

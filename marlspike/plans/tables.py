@@ -71,16 +71,16 @@ def clean_sql(x: str) -> str:
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, md): every document as markdown: each fifth line a heading of level 1 to 3, definitions between them in every
+    """(doc_id, md): every document as markdown: the first word of each fifth line as a heading of level 1, 3 or 2, definitions between them in every
     third document, a page mark before every fourth line, two lines of each five parted by a blank line."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
 
     def line(x, i):
-        level = F.repeat(F.lit("#"), (F.floor(i / 5) % 3 + 1).cast("int"))
+        level = F.repeat(F.lit("#"), (F.floor(i / 5) * 2 % 3 + 1).cast("int"))
         word = F.split_part(x, F.lit(" "), F.lit(1))
-        head = F.concat(level, F.lit(" "), x)
+        head = F.concat(level, F.lit(" "), word)
         definition = F.concat(F.lit("**"), word, F.lit("x** - "), x)
-        page = F.concat(F.lit("<!-- page: "), (F.floor(i / 4) + F.when(i % 24 == 12, 2).otherwise(1)).cast("string"), F.when(i % 20 == 8, " inferred").otherwise(""), F.lit(" -->\n"))
+        page = F.concat(F.lit("<!-- page: "), (F.floor(i / 4) + F.when(i % 24 == 14, 2).otherwise(1)).cast("string"), F.when(i % 20 == 10, " inferred").otherwise(""), F.lit(" -->\n"))
         body = F.when(i % 5 == 0, head).when((F.pmod("doc_id", F.lit(3)) == 0) & (i % 5 != 3), definition).otherwise(F.concat(x, F.lit("\n")))
         return F.concat(F.when(i % 4 == 2, page).otherwise(""), body)
 
@@ -88,8 +88,8 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MD = """md AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, j:
-  CASE WHEN (j - 1) % 4 = 2 THEN '<!-- page: ' || ((j - 1) // 4 + CASE WHEN (j - 1) % 24 = 12 THEN 2 ELSE 1 END) || CASE WHEN (j - 1) % 20 = 8 THEN ' inferred' ELSE '' END || ' -->' || chr(10) ELSE '' END ||
-  CASE WHEN (j - 1) % 5 = 0 THEN repeat('#', ((j - 1) // 5 % 3 + 1)::INT) || ' ' || x
+  CASE WHEN (j - 1) % 4 = 2 THEN '<!-- page: ' || ((j - 1) // 4 + CASE WHEN (j - 1) % 24 = 14 THEN 2 ELSE 1 END) || CASE WHEN (j - 1) % 20 = 10 THEN ' inferred' ELSE '' END || ' -->' || chr(10) ELSE '' END ||
+  CASE WHEN (j - 1) % 5 = 0 THEN repeat('#', ((j - 1) // 5 * 2 % 3 + 1)::INT) || ' ' || split_part(x, ' ', 1)
        WHEN doc_id % 3 = 0 AND (j - 1) % 5 <> 3 THEN '**' || split_part(x, ' ', 1) || 'x** - ' || x
        ELSE x || chr(10) END), chr(10)) AS md FROM documents)"""
 
