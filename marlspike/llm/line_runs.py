@@ -11,7 +11,8 @@ A run is repeated if it has MIN_WORDS words at least and an equal run starts ear
 runs go. Every place of a maximal repeated run lies in a shortest run of MIN_WORDS words that starts, or ends, within it, so
 only those shortest runs are looked up, to a depth of MIN_WORDS lines at most.
 
-Joins are on (document, line) or on ranks; rank tables are written before they are joined, so a line that is in a third of
+The last join, of texts with their runs, is a sort-merge join at every size: it is the one that moves texts, and a broadcast
+that works for few runs would only hide that. Other joins are on (document, line) or on ranks; rank tables are written before they are joined, so a line that is in a third of
 all documents is split by adaptive skew joins, and its counts are pre-aggregated.
 """
 
@@ -138,7 +139,7 @@ def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
     did, th = row_key()
     names = docs.columns
     where = names.index(text)
-    joined = docs.withColumns({"_k1": did, "_k2": th}).join(runs, (F.col("_k1") == F.col("_did")) & (F.col("_k2") == F.col("_th")), "left").select(*(F.col(f"`{c}`") for c in names), "runs")
+    joined = docs.withColumns({"_k1": did, "_k2": th}).join(runs.hint("merge"), (F.col("_k1") == F.col("_did")) & (F.col("_k2") == F.col("_th")), "left").select(*(F.col(f"`{c}`") for c in names), "runs")
 
     def run(batches):
         for b in slices(batches):
