@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from contextlib import contextmanager
+from itertools import repeat
 from urllib.parse import urlparse
 
 import numpy as np
@@ -21,11 +22,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, read_table, scratch, slices, text_of
+from .common import read_table, scratch, slices, text_of
 from .token_counts import VOCABULARY, vocabulary
 
 END_ID = 0
-MEMO = 400_000
+MEMO = 500_000  # of each generation
+#: Leads the key of a text's first word; no text of a table holds a lone surrogate.
+FIRST = "\ud800"
 #: Where a text may be cut so that the parts' ids, joined, are those of the whole: between two non-space characters, before
 #: a single space, and on both sides of a single line feed. The byte-level pattern starts a piece at each of these.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
@@ -61,7 +64,13 @@ def _mapped(folder: str, name: str):
 
 
 class Ids:
-    """Ids of texts as raw bytes, by the library; parts of texts that recur are kept in a bounded memo."""
+    """Ids of texts as raw bytes, by the library.
+
+    Texts are cut into words, which recur; their ids are kept in a memo of two generations, so that frequent words stay and
+    memory is bounded. Words that are in neither go to the library together, parted by line feeds, whose id parts them again.
+    A word's key says what stands before it: FIRST for nothing (the text's first word), a line feed for that, nothing for a
+    space. Texts with any other white space, or with two of these in a row, are cut at CUT, or encoded whole.
+    """
 
     def __init__(self, path: str, width: str, end_id: int):
         import os
@@ -71,18 +80,75 @@ class Ids:
 
         self.t, self.width = Tokenizer.from_file(path), np.dtype(width)
         self.end = np.array([end_id], width).tobytes()
-        self.memo: dict[str, bytes] = {}
+        feed = self.t.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
+        self.new: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def raw(self, text: str) -> bytes:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Put these keys into the memo; None for what is no plain word."""
+        old, new = self.old, self.new
+        plain: dict[str, list[str]] = {" ": [], "": []}
+        for w in words:
+            if w in old:
+                new[w] = old[w]
+                continue
+            first = w[:1]
+            body = w[1:] if first in (FIRST, "\n") else w
+            if body.split() != [body]:
+                new[w] = None
+            elif self.feed is None or any(x in w for x in self.special):
+                new[w] = self.raw(w if first == "\n" else body if first == FIRST else f" {body}")
+            else:
+                plain[" " if body is w else ""].append(w)
+        start = np.array([self.feed or 0], self.width).tobytes()
+        for before, keys in plain.items():
+            chunks = [keys[i : i + 2000] for i in range(0, len(keys), 2000)]
+            texts = ["\n".join(before + (k if before else k[1:]) for k in c) for c in chunks]
+            for c, e in zip(chunks, self.t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.width)
+                cuts = np.flatnonzero(ids == self.feed)
+                if len(cuts) != len(c) - 1:
+                    raise ValueError("line feeds don't part words in this vocabulary")
+                data, size = ids.tobytes(), self.width.itemsize
+                at = 0
+                for k, stop in zip(c, [*cuts.tolist(), len(ids)], strict=True):
+                    got = data[at * size : stop * size]
+                    new[k] = start + got if k[0] == "\n" else got
+                    at = stop + 1
+
+    def cut_up(self, text: str) -> bytes:
+        """A text with other white space: between CUTs, where parts without such white space come from the memo."""
+        return b"".join(np.array(e.ids, self.width).tobytes() for e in self.t.encode_batch_fast(CUT.split(text), add_special_tokens=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [CUT.split(t) if t else [] for t in texts]
-        new = list({p for ps in parts for p in ps if p not in self.memo})
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list({p for ps in parts for p in ps})
-        for p, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(e.ids, self.width).tobytes()
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ps)) + self.end for ps in parts]
+        words: list[str] = []
+        ends = []
+        for t in texts:
+            if t:
+                words += f"{FIRST}{t}".replace("\n", " \n").split(" ")
+            ends.append(len(words))
+        got = list(map(self.new.get, words, repeat(self)))
+        unknown = {w for w, g in zip(words, got, strict=True) if g is self}
+        if unknown:
+            if len(self.new) + len(unknown) > MEMO:
+                self.old, self.new = self.new, {}
+            self.learn(list(unknown))
+            new, old = self.new, self.old
+            for i, g in enumerate(got):
+                if g is self:
+                    w = words[i]
+                    got[i] = new[w] if w in new else old[w]
+        out, at = [], 0
+        for t, end in zip(texts, ends, strict=True):
+            part = got[at:end]
+            out.append((self.cut_up(t) if None in part else b"".join(part)) + self.end)
+            at = end
+        return out
 
 
 _IDS: dict[tuple, Ids] = {}
