@@ -98,7 +98,7 @@ def take_mixed(docs: DataFrame) -> DataFrame:
     chosen = cut(mix(docs_in).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "copies"), "chosen")
     did, th = row_key()
     same = (F.col("_k1") == F.col("_did")) & (F.col("_k2") == F.col("_th")) & (F.coalesce("lang", F.lit("")) == F.col("_l")) & (F.coalesce("source", F.lit("")) == F.col("_s"))
-    out = docs.withColumns({"_k1": did, "_k2": th}).join(chosen, same)
+    out = docs.withColumns({"_k1": did, "_k2": th}).join(chosen.hint("merge"), same)
     return out.withColumn("_e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -279,8 +279,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    kept = cut(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns. Texts move once, in a sort-merge join at every size."""
+    kept = cut(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept").hint("merge")
     return docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
