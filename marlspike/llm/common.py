@@ -63,14 +63,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Bounded(dict):
-    """A memo that forgets everything once it holds ``most`` entries, so that a worker's memory stays bounded."""
+    """A memo of two generations of ``most`` entries: once the new one is full it becomes the old one, which is forgotten.
+    Entries of the old one that are asked for again move to the new one, so frequent keys stay and memory is bounded."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value

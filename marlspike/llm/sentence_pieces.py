@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: How much below the lowest score a character without a piece lies (fixed value of the format's Unigram encoder).
 UNKNOWN_PENALTY = 10.0
-MEMO = 200_000
+MEMO = 300_000  # of each generation
 LONG = 64  # segments of more bytes aren't kept in the memo
 
 
@@ -153,8 +154,12 @@ class Encoder:
         alone = "\n" if not any("\n" in p for p in multi) else ""  # a character that is in no longer piece ends a segment too
         body = rf"[^{MARK}{alone}]+"
         self.segments = re.compile(rf"{MARK}*{body}|{MARK}+" + (f"|{alone}" if alone else "")).findall if split else lambda s: [s]
-        self.memo = Bounded(self.best, MEMO)
+        self.memo = Bounded(self.packed, MEMO)
         self.byte_of = {i: b for b, i in model.bytes.items()}
+        self.is_byte = np.isin(np.arange(len(model.pieces)), list(self.byte_of))
+        self.steps = [b + 1 for b in trie.base]
+        self.gain = [model.scores[v] if v >= 0 else None for v in trie.value]
+        self.shown = ["" if k == CONTROL else " ⁇ " if k == UNKNOWN else p for p, k in zip(model.pieces, model.types, strict=True)]
 
     def normal(self, text: str) -> str:
         if self.model.squeeze:
@@ -167,35 +172,33 @@ class Encoder:
         """The pieces of the best path, and its score. Of equal paths, the one found first: longer last pieces win."""
         data = segment.encode("utf-8", "surrogatepass")
         n = len(data)
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.model.scores
-        top: list[float | None] = [None] * (n + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        steps, check, value, gain = self.steps, self.trie.check, self.trie.value, self.gain
+        top = [-math.inf] * (n + 1)
+        start, piece = [0] * (n + 1), [-1] * (n + 1)
         top[0] = 0.0
         at = 0
         while at < n:
             c = data[at]
-            width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+            end = at + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
             here, s, p, single = top[at], 0, at, False
             while p < n:
-                t = base[s] + data[p] + 1
+                t = steps[s] + data[p]
                 if check[t] != s:
                     break
                 s, p = t, p + 1
-                v = value[s]
-                if v >= 0:
-                    score = here + scores[v]
-                    if top[p] is None or score > top[p]:
-                        top[p], back[p] = score, (at, v)
-                    single |= p - at == width
-            if not single:
-                p, score = at + width, here + self.unk_score
-                if top[p] is None or score > top[p]:
-                    top[p], back[p] = score, (at, -1)
-            at += width
+                g = gain[s]
+                if g is not None:
+                    if here + g > top[p]:
+                        top[p], start[p], piece[p] = here + g, at, value[s]
+                    if p == end:
+                        single = True
+            if not single and here + self.unk_score > top[end]:
+                top[end], start[end], piece[end] = here + self.unk_score, at, -1
+            at = end
         ids: list[int] = []
         p = n
         while p:
-            q, v = back[p]
+            q, v = start[p], piece[p]
             if v >= 0:
                 ids.append(v)
             elif self.model.bytes:
@@ -205,34 +208,38 @@ class Encoder:
             p = q
         return tuple(reversed(ids)), top[n]
 
-    def encode(self, text: str | None) -> tuple[list[int], float]:
+    def packed(self, segment: str) -> tuple[bytes, float]:
+        ids, score = self.best(segment)
+        return array("i", ids).tobytes(), score
+
+    def encode_array(self, text: str | None) -> tuple[np.ndarray, float]:
         """Piece numbers and score of a text; none and 0 for null and the empty text."""
-        ids: list[int] = []
-        total = 0.0
-        for s in self.segments(self.normal(text or "")):
-            got, score = self.memo[s] if len(s) <= LONG else self.best(s)
-            ids += got
-            total += score
-        return ids, total
-
-    def decode(self, ids: list[int]) -> str:
+        memo = self.memo
+        got = [memo[s] if len(s) <= LONG else self.packed(s) for s in self.segments(self.normal(text or ""))]
+        return np.frombuffer(b"".join([g[0] for g in got]), np.int32), sum([g[1] for g in got])
+
+    def encode(self, text: str | None) -> tuple[list[int], float]:
+        ids, score = self.encode_array(text)
+        return ids.tolist(), float(score)
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of these pieces: bytes joined (U+FFFD where they are no UTF-8), markers to spaces, first marker dropped."""
-        out: list[str] = []
-        held = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if self.model.types[i] not in (CONTROL, UNKNOWN):
-                out.append(self.model.pieces[i])
-            elif self.model.types[i] == UNKNOWN:
-                out.append(" ⁇ ")
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        ids = np.asarray(ids, np.int64)
+        if not self.is_byte[ids].any():
+            text = "".join(map(self.shown.__getitem__, ids.tolist()))
+        else:
+            out: list[str] = []
+            held = bytearray()
+            for i in ids.tolist():
+                if i in self.byte_of:
+                    held.append(self.byte_of[i])
+                    continue
+                if held:
+                    out.append(held.decode("utf-8", "replace"))
+                    held.clear()
+                out.append(self.shown[i])
+            text = "".join(out) + held.decode("utf-8", "replace")
+        text = text.replace(MARK, " ")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
@@ -267,10 +274,10 @@ def encode_pieces(df: DataFrame, text: str = "text", path: str | None = None) ->
             ids, n_bytes, scores, same = [], [], [], []
             for s in b.column(where):
                 t = s.as_py() or ""
-                got, score = e.encode(t)
-                ids.append(np.array(got, np.int32))
-                n_bytes.append(sum(i in e.byte_of for i in got))
-                scores.append(round(score, 4))
+                got, score = e.encode_array(t)
+                ids.append(got)
+                n_bytes.append(int(e.is_byte[got].sum()))
+                scores.append(round(float(score), 4))
                 same.append(e.decode(got) == (re.sub(" +", " ", t).strip(" ") if squeeze else t))
             size = [len(x) for x in ids]
             offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
