@@ -117,6 +117,22 @@ def stratum_accuracy(rows: DataFrame) -> DataFrame:
     return df.select("answer_class", "n", "ok", F.round(F.col("ok") / F.col("n"), 6).alias("accuracy"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
+def index_agrees(gold: DataFrame, manifest: DataFrame, digits: int = 16) -> DataFrame:
+    """``gold`` (doc_sha, ...), failing at the first row that was labelled on another document than the index holds.
+
+    Only the first digits count, and only where both have a hash. manifest: one row (doc_sha).
+    """
+    held = manifest.select(F.substring("doc_sha", 1, digits).alias("_held"))
+    mine = F.substring("doc_sha", 1, digits)
+    wrong = F.raise_error(F.concat(F.lit("labels are for document "), mine)).cast("string")
+    return gold.crossJoin(F.broadcast(held)).withColumn("doc_sha", F.when(mine.isNull() | F.col("_held").isNull() | (mine == F.col("_held")), F.col("doc_sha")).otherwise(wrong)).drop("_held")
+
+
+def search_share(rows: DataFrame) -> DataFrame:
+    """n, attached, share of rows with a search attached, and token totals."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("used_search").alias("attached"), F.round(F.avg(F.col("used_search").cast("int")), 6).alias("share"), F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("long").alias("output_tokens"))
+
+
 def checkpoint_key(fields: list[Column]) -> Column:
     """The first 16 hex digits of a hash of these fields as JSON, in their order."""
     return F.substring(F.sha2(F.to_json(F.struct(*fields)), 256), 1, 16)

@@ -23,6 +23,8 @@ EXPANDED = 14
 WEAK = 0.02
 #: Query vectors that are held at once by the dense arm.
 BLOCK = 4096
+#: Vectors that are multiplied by a block at once.
+ROWS = 1024
 
 
 def top(df: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("qid",), rank: str = "rank") -> DataFrame:
@@ -77,27 +79,32 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return has.join(idf, "term").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("times") * F.col("idf")), 6).alias("score"))
 
 
-def keyword_budget(chunks: DataFrame, queries: DataFrame, n: int = 6, chars: int = 9000, depth: int = 200) -> DataFrame:
+def keyword_budget(chunks: DataFrame, queries: DataFrame, n: int = 6, chars: int = 9000) -> DataFrame:
     """(qid, id, rank): greedy picks in score order that fit the rest of a budget of characters, at most n.
 
-    Queries without a keyword take the first n chunks; if nothing fits, the first two are taken. ``depth`` bounds the fold:
-    a query's list goes to one task, so only its best ``depth`` chunks are looked at.
+    What doesn't fit once never fits later, so each pick is the best chunk behind the one before that fits what is left: n
+    aggregations over the scores, and no query's list is ordered in one task. If no scored chunk fits, the first that does is
+    taken, or else the first two; queries without a keyword take the first n.
     """
-    sized = chunks.select("id", T.units(F.col("content")).alias("size"))
-    best = top(keyword_scores(chunks, queries), depth, F.desc("score"), F.col("id")).join(sized, "id")
-    lists = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "size"))).alias("rows"))
-    start = F.struct(F.array().cast("array<bigint>").alias("picked"), F.lit(chars).cast("long").alias("left"))
-
-    def step(s, r):
-        fits = (F.size(s.picked) < n) & (r.size <= s.left)
-        return F.struct(F.when(fits, F.concat(s.picked, F.array(r.id.cast("long")))).otherwise(s.picked).alias("picked"), F.when(fits, s.left - r.size).otherwise(s.left).alias("left"))
-
-    picked = lists.select("qid", F.aggregate("rows", start, step).picked.alias("picked"))
-    asked = queries.select("qid", (F.size(T.keywords(F.col("question"))) > 0).alias("has")).join(picked, "qid", "left")
-    first = F.broadcast(top(chunks.select(F.lit(0).alias("one"), F.col("id").cast("long").alias("id")), n, F.col("id"), by=("one",)).agg(F.sort_array(F.collect_list("id")).alias("first")))
-    some = F.coalesce("picked", F.array().cast("array<bigint>"))
-    chosen = F.when(~F.col("has"), F.col("first")).when(F.size(some) == 0, F.slice("first", 1, 2)).otherwise(some)
-    return asked.crossJoin(first).select("qid", F.posexplode(chosen).alias("pos", "id")).select("qid", "id", (F.col("pos") + 1).alias("rank"))
+    sized = chunks.select("id", T.units(F.col("content")).cast("long").alias("size"))
+    scored = keyword_scores(chunks, queries).join(sized, "id").select("qid", F.struct((-F.col("score")).alias("s"), F.col("id").cast("long").alias("id")).alias("key"), "size")
+    scored = scored.persist()  # read once per pick; lost blocks are computed anew
+    state = queries.select("qid", (F.size(T.keywords(F.col("question"))) > 0).alias("has"), F.lit(None).cast("struct<s:double,id:bigint>").alias("last"), F.lit(chars).cast("long").alias("left"), F.array().cast("array<bigint>").alias("picked"))
+    for _ in range(n):
+        rest = scored.withColumnRenamed("qid", "_q")
+        fits = (F.col("qid") == F.col("_q")) & (F.col("last").isNull() | (F.col("key") > F.col("last"))) & (F.col("size") <= F.col("left"))
+        state = state.join(rest, fits, "left").groupBy("qid", "has", "last", "left", "picked").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "size"))).alias("b"))
+        full = F.col("b").isNull()
+        state = state.select(
+            "qid", "has", F.coalesce("b.key", "last").alias("last"), F.when(full, F.lit(-1)).otherwise(F.col("left") - F.col("b.size")).alias("left"),
+            F.when(full, F.col("picked")).otherwise(F.concat("picked", F.array("b.key.id"))).alias("picked"),
+        )
+    ids = chunks.select(F.lit(0).alias("one"), F.col("id").cast("long").alias("id"))
+    first = top(ids, n, F.col("id"), by=("one",)).agg(F.sort_array(F.collect_list("id")).alias("first"))
+    fits = sized.where(F.col("size") <= chars).agg(F.min("id").cast("long").alias("fit"))
+    state = state.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(fits))  # one row each
+    chosen = F.when(~F.col("has"), F.col("first")).when(F.size("picked") > 0, F.col("picked")).when(F.col("fit").isNotNull(), F.array("fit")).otherwise(F.slice("first", 1, 2))
+    return state.select("qid", F.posexplode(chosen).alias("pos", "id")).select("qid", "id", (F.col("pos") + 1).alias("rank"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -134,8 +141,9 @@ def _dense_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) ->
     def run(batches):
         qid, qv, qn = held.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.array([], np.int64), np.array([]))] * len(qid)
-        for b in batches:
-            if not b.num_rows or not len(qid):
+        parts = (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+        for b in parts:
+            if not len(qid):
                 continue
             who = b.column(0).to_numpy()
             width = len(b.column(1)[0].as_py())
@@ -145,8 +153,10 @@ def _dense_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) ->
             norm = qn[:, None] * np.sqrt((v * v).sum(1))[None, :]
             with np.errstate(invalid="ignore", divide="ignore"):
                 s = np.round(np.where(norm == 0, 0.0, qv @ v.T / norm), 6)
+            least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
             for i in range(len(qid)):
-                w, t = np.concatenate((best[i][0], who)), np.concatenate((best[i][1], s[i]))
+                fit = np.flatnonzero(s[i] >= least[i])  # k, and what ties with the last of them
+                w, t = np.concatenate((best[i][0], who[fit])), np.concatenate((best[i][1], s[i][fit]))
                 keep = np.lexsort((w, -t))[:k]
                 best[i] = (w[keep], t[keep])
         for i, (w, t) in enumerate(best):
@@ -215,6 +225,11 @@ def section_complete(selected: DataFrame, chunks: DataFrame, options: DataFrame)
     return stacked(rows.withColumn("sibling", F.lit(False)), more)
 
 
+def materialize(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked ids with their chunks; unknown ids go, ranks stay."""
+    return ranked.join(chunks, "id")
+
+
 def weak_evidence(queries: DataFrame, results: DataFrame) -> DataFrame:
     """(qid, attach): search is attached to prohibitions, and where the best row is absent or scores below 0.02."""
     best = results.where("rank = 1").select("qid", "score")

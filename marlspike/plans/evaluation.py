@@ -206,3 +206,29 @@ def batch_minutes(spark, sf_dir):
     n = b.groupBy("queue").agg((F.max("batch") + 1).alias("batches"))
     s = d.groupBy("queue").agg(F.sum("tokens").alias("tokens"))
     return n.join(s, "queue").select("queue", "batches", P.minutes_left(F.col("batches"), F.col("tokens")).alias("minutes"))
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (role = 'user') AS attached, round(avg((role = 'user')::INT), 6) AS share, coalesce(sum({t.tokens_sql('text')}), 0)::BIGINT AS input_tokens, coalesce(sum(length(text)), 0)::BIGINT AS output_tokens FROM conversations")
+def search_share(spark, sf_dir):
+    c = t.read(spark, sf_dir, "conversations").select((F.col("role") == "user").alias("used_search"), T.est_tokens(F.col("text")).alias("input_tokens"), F.length("text").alias("output_tokens"))
+    return E.search_share(c)
+
+
+@query("SELECT item_id AS qid, left(sha256('corpus'), 20) AS doc_sha FROM benchmark")
+def index_agreement(spark, sf_dir):
+    """Labels and index agree in the first 16 digits, or the query fails."""
+    gold = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring(F.sha2(F.lit("corpus"), 256), 1, 20).alias("doc_sha"))
+    return E.index_agrees(gold, spark.range(1).select(F.sha2(F.lit("corpus"), 256).alias("doc_sha")))
+
+
+@query(GRADED + " SELECT doc_id, answer_class FROM g WHERE answer_class IN ('forbidden', 'unstated') ORDER BY doc_id LIMIT 25")
+def strata_selection(spark, sf_dir):
+    """Chosen strata, and the first 25 rows of them: a run's own limit."""
+    return _graded(spark, sf_dir).where(F.col("answer_class").isin("forbidden", "unstated")).select("doc_id", "answer_class").orderBy("doc_id").limit(25)
+
+
+@query("SELECT doc_id // 100 AS request, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1")
+def restore_order(spark, sf_dir):
+    """Responses that arrive in any order, back in the order of their requests."""
+    d = t.read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("request"), "doc_id")
+    return d.groupBy("request").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))

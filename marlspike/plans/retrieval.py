@@ -113,12 +113,14 @@ def keyword_idf_top8(spark, sf_dir):
 
 
 @query(KEYWORD.replace("WITH ", "WITH RECURSIVE ", 1) + """,
-lim AS (SELECT qid, id, rank, length(content) AS size FROM best JOIN chunks USING (id) WHERE rank <= 200),
+lim AS (SELECT qid, id, rank, length(content) AS size FROM best JOIN chunks USING (id)),
 walk AS (SELECT qid, 0::BIGINT AS rank, 0 AS n, 9000::BIGINT AS budget, NULL::BIGINT AS id FROM (SELECT DISTINCT qid FROM lim) UNION ALL
   SELECT w.qid, l.rank, w.n + (w.n < 6 AND l.size <= w.budget)::INT, w.budget - CASE WHEN w.n < 6 AND l.size <= w.budget THEN l.size ELSE 0 END, CASE WHEN w.n < 6 AND l.size <= w.budget THEN l.id END FROM walk w JOIN lim l ON l.qid = w.qid AND l.rank = w.rank + 1),
 ok AS (SELECT qid, id, n::BIGINT AS rank FROM walk WHERE id IS NOT NULL),
-f AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM chunks)
-SELECT qid, id, rank FROM ok UNION ALL SELECT q.qid, f.id, f.r FROM qs q, f WHERE q.qid NOT IN (SELECT qid FROM ok) AND f.r <= CASE WHEN q.qid IN (SELECT qid FROM a) THEN 2 ELSE 6 END""")
+f AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM chunks), fit AS (SELECT min(id) AS id FROM chunks WHERE length(content) <= 9000),
+none AS (SELECT qid, qid IN (SELECT qid FROM a) AS has FROM qs WHERE qid NOT IN (SELECT qid FROM ok))
+SELECT qid, id, rank FROM ok UNION ALL SELECT qid, fit.id, 1 FROM none, fit WHERE has AND fit.id IS NOT NULL
+UNION ALL SELECT qid, f.id, f.r FROM none, f WHERE f.r <= CASE WHEN NOT has THEN 6 WHEN (SELECT id FROM fit) IS NULL THEN 2 ELSE 0 END""")
 def keyword_budget(spark, sf_dir):
     return R.keyword_budget(t.chunks(spark, sf_dir), t.questions(spark, sf_dir)).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
@@ -222,6 +224,31 @@ def section_complete(spark, sf_dir):
     return _selected(spark, sf_dir).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"), "sibling")
 
 
+@query(t.FUSED + f" SELECT f.qid, f.id, f.rank, c.doc_type, {t.tokens_sql('content')} AS tokens FROM fused f JOIN chunks c USING (id)")
+def materialize_hits(spark, sf_dir):
+    c = t.chunks(spark, sf_dir).select("id", "doc_type", T.est_tokens(F.col("content")).alias("tokens"))
+    return R.materialize(_fused(spark, sf_dir).select("qid", "id", F.col("rank").cast("long").alias("rank")), c)
+
+
+@query(f"WITH {t.CHUNKS} SELECT ordinal, id, doc_type, title FROM chunks WHERE id = 7")
+def point_lookup(spark, sf_dir):
+    """One chunk by its id: the filter reaches the scan."""
+    return t.chunks(spark, sf_dir).where("id = 7").select("ordinal", "id", "doc_type", "title")
+
+
+@query("SELECT vec_id AS id, len(embedding)::INT AS width, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+def vector_checks(spark, sf_dir):
+    """All vectors are 64 wide, or the query fails."""
+    v = files.checked_vectors(t.vectors(spark, sf_dir), 64)
+    return v.select("id", F.size("vector").alias("width"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 6).alias("norm"))
+
+
+@query(f"WITH {t.CHUNKS}, x AS (SELECT doc_type, count(*) AS n, sum(length(content))::BIGINT AS chars FROM chunks GROUP BY doc_type) SELECT '| ' || doc_type || ' | ' || n || ' | ' || chars || ' |' AS line FROM x UNION ALL SELECT '| type | chunks | chars |' UNION ALL SELECT '|---|---|---|'")
+def report_table(spark, sf_dir):
+    x = t.chunks(spark, sf_dir).groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+    return files.markdown_table(x, ["type", "chunks", "chars"])
+
+
 @query(t.FUSED + " SELECT h.qid, shape, shape = 'prohibition' OR coalesce(score, 0) < 0.02 AS attach FROM hq h LEFT JOIN fused f ON f.qid = h.qid AND f.rank = 1")
 def search_attach_gate(spark, sf_dir):
     return R.weak_evidence(t.hybrid(spark, sf_dir), _fused(spark, sf_dir))

@@ -258,3 +258,20 @@ def test_pushed_down_and_limited(spark):
 
     plan = registry.QUERIES["bm25_top8"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "lang" not in plan.split("ReadSchema: struct<")[1].split(">")[0]
+
+
+def test_labels_of_another_document(spark):
+    gold = spark.createDataFrame([("a" * 20,), (None,)], "doc_sha string")
+    assert E.index_agrees(gold, spark.createDataFrame([("a" * 16 + "b",)], "doc_sha string")).count() == 2
+    with pytest.raises(Exception, match="labels are for document"):
+        E.index_agrees(gold, spark.createDataFrame([("b" * 20,)], "doc_sha string")).collect()
+
+
+def test_budget_fallbacks(spark):
+    chunks = spark.createDataFrame([(1, "wolf " * 3000), (2, "short"), (3, "wolf den"), (4, "wolf " * 5)], "id int, content string")
+    asked = spark.createDataFrame([(1, "wolf"), (2, "is it"), (3, "zebra"), (4, "den")], "qid int, question string")
+    got = {}
+    for q, i, _ in rows(R.keyword_budget(chunks, asked, 2, 100), "qid", "rank"):
+        got.setdefault(q, []).append(i)
+    assert got == {1: [3, 4], 2: [1, 2], 3: [2], 4: [3]}
+    assert [r[1] for r in rows(R.keyword_budget(chunks, asked.where("qid = 3"), 2, 1), "rank")] == [1, 2]
