@@ -18,6 +18,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,30 +126,40 @@ class Ids:
         """A text with other white space: between CUTs, where parts without such white space come from the memo."""
         return b"".join(np.array(e.ids, self.width).tobytes() for e in self.t.encode_batch_fast(CUT.split(text), add_special_tokens=False))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words: list[str] = []
-        ends = []
-        for t in texts:
-            if t:
-                words += f"{FIRST}{t}".replace("\n", " \n").split(" ")
-            ends.append(len(words))
+    def values(self, words: list[str]) -> list[bytes | None]:
+        """The ids of these keys, which are distinct."""
         got = list(map(self.new.get, words, repeat(self)))
-        unknown = {w for w, g in zip(words, got, strict=True) if g is self}
-        if unknown:
-            if len(self.new) + len(unknown) > MEMO:
+        at = [i for i, g in enumerate(got) if g is self]
+        if at:
+            if len(self.new) + len(at) > MEMO:
                 self.old, self.new = self.new, {}
-            self.learn(list(unknown))
-            new, old = self.new, self.old
-            for i, g in enumerate(got):
-                if g is self:
-                    w = words[i]
-                    got[i] = new[w] if w in new else old[w]
-        out, at = [], 0
-        for t, end in zip(texts, ends, strict=True):
-            part = got[at:end]
-            out.append((self.cut_up(t) if None in part else b"".join(part)) + self.end)
-            at = end
-        return out
+            self.learn([words[i] for i in at])
+            for i in at:
+                got[i] = self.new[words[i]]
+        return got
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, with the end id. Only the distinct words of all texts are looked up one by one."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        ends = split.offsets.to_numpy()
+        ends = ends - ends[0]
+        index = coded.indices.to_numpy().astype(np.int64)
+        known = coded.dictionary.to_pylist()
+        first = [FIRST + known[i] for i in index[ends[:-1]].tolist()]
+        lead = {w: len(known) + i for i, w in enumerate(dict.fromkeys(first))}
+        index[ends[:-1]] = [lead[w] for w in first]
+        got = self.values([*known, *lead])
+        odd = np.array([g is None for g in got])
+        size = np.array([len(g) if g else 0 for g in got]) // self.width.itemsize
+        ids = np.frombuffer(b"".join([g or b"" for g in got]), self.width)
+        start, n = np.cumsum(size) - size, size[index]
+        to = np.cumsum(n)
+        flat = ids[np.repeat(start[index] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+        stops = np.concatenate(([0], to))[ends].tolist()
+        strange = np.concatenate(([0], np.cumsum(odd[index])))[ends]
+        strange = (strange[1:] > strange[:-1]).tolist()
+        return [(self.cut_up(texts[i].as_py()) if strange[i] else flat[stops[i] : stops[i + 1]].tobytes()) + self.end for i in range(len(texts))]
 
 
 _IDS: dict[tuple, Ids] = {}
@@ -181,8 +192,8 @@ def write_token_files(df: DataFrame, folder: str, text: str = "text", name: str
 
         def coded():
             nonlocal total
-            for b in slices(batches):
-                got = ids.encode(b.column(1).to_pylist())
+            for b in slices(batches, 2048):
+                got = ids.encode(b.column(1).fill_null(""))
                 n = np.array([len(x) for x in got], "<i8") // np.dtype(width).itemsize
                 i = b.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype("<i8")
                 docs.append(np.stack([i, n], 1))
