@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions import shape as S
-from marlspike.functions import text as T
 from marlspike.plans import tables as t
 from marlspike.streaming import events as V
 from marlspike.streaming import limits as L
