@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def encode_frame(event: Column, data: Column) -> Column:
@@ -42,6 +45,48 @@ def fold_messages(frames: DataFrame) -> DataFrame:
     )
 
 
+FOLDED = ("text", "thinking", "stages", "trace", "usage", "error", "notes")
+
+
+class _Folder(StatefulProcessor):
+    """Keeps each open message's fields; the text so far is all that grows."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        names = (*FOLDED, "n_citations")
+        self.held = handle.getValueState("held", StructType([StructField(n, StringType()) for n in names]))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802  the base class's name
+        had = self.held.get() if self.held.exists() else None
+        m = dict(zip((*FOLDED, "n_citations"), had, strict=True)) if had else {**dict.fromkeys(FOLDED), "text": "", "thinking": "", "stages": "", "notes": "", "n_citations": "0"}
+        done = False
+        for pdf in rows:
+            for r in pdf.sort_values("seq").itertuples():
+                if r.event in ("text", "thinking"):
+                    m[r.event] += r.value
+                elif r.event in ("stage", "web_error"):
+                    name, glue = ("stages", ",") if r.event == "stage" else ("notes", "; ")
+                    m[name] = f"{m[name]}{glue}{r.value}" if m[name] else r.value
+                elif r.event in ("trace", "usage", "error"):
+                    m[r.event] = r.value
+                elif r.event == "citation":
+                    m["n_citations"] = str(int(m["n_citations"]) + 1)
+                done |= r.event == "done"
+        if done:
+            self.held.clear()
+            yield pd.DataFrame([(key[0], *(m[n] for n in FOLDED), int(m["n_citations"]))], columns=["mid", *FOLDED, "n_citations"])
+        else:
+            self.held.update(tuple(m.values()))
+
+    def close(self) -> None:
+        pass
+
+
+def fold_messages_stream(frames: DataFrame) -> DataFrame:
+    """``fold_messages`` on a stream (mid, seq, event, value) whose frames arrive in order; a message is given at its ``done`` frame."""
+    schema = "mid long, " + ", ".join(f"{n} string" for n in FOLDED) + ", n_citations long"
+    return frames.groupBy("mid").transformWithStateInPandas(_Folder(), schema, "Append", "None")
+
+
 def latencies(frames: DataFrame) -> DataFrame:
     """(mid, first_token_ms, total_ms): time to the first text, and of the last frame."""
     first = F.min(F.when(F.col("event") == "text", F.col("at_ms")))

@@ -228,6 +228,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.table("limited"), "event_id") == rows(want, "event_id")
 
 
+def test_message_stream_equals_batch(spark, tmp_path):
+    random.seed(6)
+    kinds = ["text", "text", "thinking", "stage", "citation", "trace", "usage", "web_error", "error"]
+    frames = [(m, i, random.choice(kinds), f"v{m}.{i} ") for i in range(12) for m in range(4)] + [(m, 12, "done", "") for m in range(4)]
+    df = spark.createDataFrame(frames, "mid long, seq long, event string, value string")
+    for i in range(0, len(frames), 18):
+        spark.createDataFrame(frames[i : i + 18], df.schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i:02}"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = V.fold_messages_stream(stream).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    want = V.fold_messages(df)
+    assert rows(spark.table("folded").select(*want.columns), "mid") == rows(want, "mid")
+
+
 def test_frames(spark):
     raw = 'event: a\ndata: {"x":1}\n\nevent: b\ndata: {bad\n\nevent: c\n\nevent: d\ndata: {"y":2}'
     df = spark.createDataFrame([(1, raw)], "sid int, raw string")
