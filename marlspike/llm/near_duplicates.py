@@ -11,7 +11,7 @@ Large buckets are never expanded into pairs:
 1. in each bucket all members are compared with its smallest member only (a star), links are confirmed on full sets, and
    connected components are taken. Groups of near copies collapse here;
 2. buckets whose members still lie in several components: up to SMALL members, all pairs between components are compared;
-3. larger ones: an exact prefix filter over the members' sets (rarest shingles first): two sets that are similar enough
+3. larger ones: an exact prefix filter over the members' sets (frequent shingles last): two sets that are similar enough
    share a shingle of their prefixes. A passage that many documents share is frequent, so it comes last in that order and
    yields nothing. Up to SMALL members that share a prefix shingle are compared pair by pair. More of them are a family of
    overlapping near copies: it is dealt to blocks of about BLOCK members, each pair of blocks is one task that multiplies
@@ -27,7 +27,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Bounded, cut, read_table, row_key, slices, text_of
 
@@ -37,6 +36,7 @@ CHUNKS, CHUNK, ERRORS = 10, 4, 1
 K = CHUNKS * CHUNK
 SMALL = 32
 BLOCK = 384
+FREQUENT, RANGE = 1_000_000, 4_000_000
 COLUMNS = 8192  # shingles that a block's matrix holds at once
 MEMO = 500_000
 
@@ -167,22 +167,55 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """The shingles of more than SMALL of these sets, sorted; of more than FREQUENT such shingles, the most frequent.
+
+    They come last in the prefix order. Any order is exact, so the bound costs time at worst. Counts travel packed, a row per
+    slice of sets and range of shingles; a range holds RANGE shingles at most before they are merged.
+    """
+    parts = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // RANGE))
+
+    def count(batches):
+        for b in slices(batches):
+            x, n = np.unique(np.concatenate([np.frombuffer(r.as_py(), "<u8") for r in b.column(0)]), return_counts=True)
+            part = (x % np.uint64(parts)).astype(np.int64)
+            for i in np.unique(part).tolist():
+                mine = part == i
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x[mine].tobytes()], pa.binary()), pa.array([n[mine].astype("<i8").tobytes()], pa.binary())], names=["part", "shingles", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        x = np.concatenate([np.frombuffer(r.as_py(), "<u8") for r in table.column("shingles")])
+        n = np.concatenate([np.frombuffer(r.as_py(), "<i8") for r in table.column("counts")])
+        x, at = np.unique(x, return_inverse=True)
+        n = np.bincount(at, n).astype(np.int64)
+        return pa.table([pa.array(x[n > SMALL].view("<i8")), pa.array(n[n > SMALL])], names=["shingle", "df"])
+
+    packed = sets.select("set").mapInArrow(count, "part long, shingles binary, counts binary")
+    found = packed.groupBy("part").applyInArrow(merge, "shingle long, df long").orderBy(F.desc("df"), "shingle").limit(FREQUENT).select("shingle").collect()
+    return np.sort(np.array([x[0] for x in found], np.int64).view(np.uint64))
+
+
 def _prefix_pairs(index: _Index, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of members (node, root): candidates (a, b) of different components, and links (a, b) that are confirmed already."""
     sets = index.sets(members.select("node"))
 
-    def burst(batches):
+    often = _frequent(sets)
+
+    def run(batches):
         for batch in slices(batches, 64):
-            for node, raw in zip(batch.column(0), batch.column(1), strict=True):
-                s = np.frombuffer(raw.as_py(), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(s), pa.binary()), pa.array(s), pa.array(np.full(len(s), len(s)))], names=["node", "shingle", "n"])
-
-    tokens = cut(sets.select("node", "set").mapInArrow(burst, "node binary, shingle long, n long"), "tokens")
-    often = cut(tokens.groupBy("shingle").count().where("count > 1").withColumnRenamed("count", "df"), "often")
-    order = Window.partitionBy("node").orderBy("df", "shingle")
-    need = F.ceil(F.col("n") * NUM / DEN)
-    ranked = tokens.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rn", F.row_number().over(order))
-    prefix = cut(ranked.where((F.col("rn") <= F.col("n") - need + 1) & (F.col("df") > 1)).join(members, "node").select("shingle", "node", "root", "n"), "prefix")
+            node, shingle, size = [], [], []
+            for who, raw in zip(batch.column(0), batch.column(1), strict=True):
+                x = np.frombuffer(raw.as_py(), "<u8")
+                late = np.isin(x, often)
+                first = np.concatenate((x[~late], x[late]))[: len(x) + NUM * len(x) // -DEN + 1]
+                node += [who.as_py()] * len(first)
+                shingle.append(first.view("<i8"))
+                size.append(np.full(len(first), len(x)))
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(np.concatenate(shingle)), pa.array(np.concatenate(size))], names=["node", "shingle", "n"])
+
+    flat = cut(sets.select("node", "set").mapInArrow(run, "node binary, shingle long, n long"), "flat")
+    prefix = cut(flat.join(members, "node").select("shingle", "node", "root", "n"), "prefix")
     live = cut(prefix.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("shingle", "first", "size"), "live")
     post = cut(prefix.join(live, "shingle"), "post")
     x, y = post.where(F.col("size") <= SMALL).alias("x"), post.where(F.col("size") <= SMALL).alias("y")
@@ -206,7 +239,10 @@ def _family_links(families: DataFrame, members: DataFrame, sets: DataFrame) -> D
         shingle, row = np.concatenate(held), np.repeat(np.arange(n), size)
         order = np.argsort(shingle, kind="stable")
         shingle, row = shingle[order], row[order]
-        column = np.concatenate(([0], np.cumsum(shingle[1:] != shingle[:-1])))
+        same = shingle[1:] == shingle[:-1]
+        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))  # others meet nothing
+        shingle, row = shingle[shared], row[shared]
+        column = np.concatenate(([0], np.cumsum(shingle[1:] != shingle[:-1])))[: len(row)]
         both = np.zeros((n, n), np.float32)
         at = 0
         while at < len(row):
