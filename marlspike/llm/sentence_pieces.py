@@ -31,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: How much below the lowest score a character without a piece lies (fixed value of the format's Unigram encoder).
 UNKNOWN_PENALTY = 10.0
-MEMO = 300_000  # of each generation
+MEMO = 450_000  # of each generation
 LONG = 64  # segments of more bytes aren't kept in the memo
 
 
