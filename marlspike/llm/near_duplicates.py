@@ -37,6 +37,7 @@ K = CHUNKS * CHUNK
 SMALL = 32
 BLOCK = 384
 FREQUENT, RANGE = 1_000_000, 4_000_000
+FILTER = 1 << 24  # bits that tell which shingles may be in two sets
 COLUMNS = 8192  # shingles that a block's matrix holds at once
 MEMO = 500_000
 
@@ -167,10 +168,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """The shingles of more than SMALL of these sets, sorted; of more than FREQUENT such shingles, the most frequent.
+def _bit(x: np.ndarray, parts: int) -> np.ndarray:
+    """Where in the filter a shingle's bit lies: each range of shingles has a share of its own."""
+    width = np.uint64(max(8, FILTER // parts // 8 * 8))
+    return (x % np.uint64(parts)) * width + (x >> np.uint64(20)) % width
 
-    They come last in the prefix order. Any order is exact, so the bound costs time at worst. Counts travel packed, a row per
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingles of more than SMALL of these sets, sorted (of more than FREQUENT of them, the most frequent); a filter of
+    fixed size that has the bits of all shingles of two sets or more, and perhaps others; and its number of ranges.
+
+    Frequent ones come last in the prefix order. Any order is exact, and a shingle without its bit meets nothing, so both
+    bounds cost time at worst. Counts travel packed, a row per
     slice of sets and range of shingles; a range holds RANGE shingles at most before they are merged.
     """
     parts = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // RANGE))
@@ -188,26 +197,40 @@ def _frequent(sets: DataFrame) -> np.ndarray:
         n = np.concatenate([np.frombuffer(r.as_py(), "<i8") for r in table.column("counts")])
         x, at = np.unique(x, return_inverse=True)
         n = np.bincount(at, n).astype(np.int64)
-        return pa.table([pa.array(x[n > SMALL].view("<i8")), pa.array(n[n > SMALL])], names=["shingle", "df"])
+        width = max(8, FILTER // parts // 8 * 8)
+        bits = np.zeros(width, bool)
+        bits[(_bit(x[n > 1], parts) % np.uint64(width)).astype(np.int64)] = True
+        often = x[n > SMALL].view("<i8")
+        rows = [[*often.tolist(), None], [*n[n > SMALL].tolist(), None], [None] * len(often) + [np.packbits(bits).tobytes()], [None] * len(often) + [table.column("part")[0].as_py()]]
+        return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.int64())], names=["shingle", "df", "bits", "part"])
 
     packed = sets.select("set").mapInArrow(count, "part long, shingles binary, counts binary")
-    found = packed.groupBy("part").applyInArrow(merge, "shingle long, df long").orderBy(F.desc("df"), "shingle").limit(FREQUENT).select("shingle").collect()
-    return np.sort(np.array([x[0] for x in found], np.int64).view(np.uint64))
+    merged = cut(packed.groupBy("part").applyInArrow(merge, "shingle long, df long, bits binary, part long"), "counts")
+    found = merged.where("shingle IS NOT NULL").orderBy(F.desc("df"), "shingle").limit(FREQUENT).select("shingle").collect()
+    width = max(8, FILTER // parts // 8 * 8) // 8
+    seen = np.zeros(width * parts, np.uint8)
+    for x in merged.where("bits IS NOT NULL").select("part", "bits").toLocalIterator():
+        seen[x["part"] * width : (x["part"] + 1) * width] = np.frombuffer(x["bits"], np.uint8)
+    return np.sort(np.array([x[0] for x in found], np.int64).view(np.uint64)), seen, parts
 
 
 def _prefix_pairs(index: _Index, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of members (node, root): candidates (a, b) of different components, and links (a, b) that are confirmed already."""
     sets = index.sets(members.select("node"))
 
-    often = _frequent(sets)
+    often, seen, parts = _frequent(sets)
+    held = members.sparkSession.sparkContext.broadcast((often, seen))
 
     def run(batches):
         for batch in slices(batches, 64):
+            often, seen = held.value
             node, shingle, size = [], [], []
             for who, raw in zip(batch.column(0), batch.column(1), strict=True):
                 x = np.frombuffer(raw.as_py(), "<u8")
                 late = np.isin(x, often)
                 first = np.concatenate((x[~late], x[late]))[: len(x) + NUM * len(x) // -DEN + 1]
+                at = _bit(first, parts).astype(np.int64)
+                first = first[seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1]
                 node += [who.as_py()] * len(first)
                 shingle.append(first.view("<i8"))
                 size.append(np.full(len(first), len(x)))
