@@ -449,6 +449,22 @@ def test_template_is_induced(spark):
         assert "motto" not in x["text"] and "Address" not in x["text"] and len(x["text"].split("\n")) >= 3
 
 
+def extracted(spark, rows):
+    return {x["page_id"]: x["text"] for x in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_blocks_beyond_the_reference_stay(spark):
+    """The reference page has one paragraph; the others have many, in lists and sections it hasn't got, too."""
+    r = random.Random(20)
+    rows, want = [], {}
+    for i in range(12):
+        title, paras, items = prose(r, 3), [prose(r, 12) for _ in range(50 if i else 1)], [prose(r, 6) for _ in range(8 if i else 0)]
+        extra = f"<section><ul>{''.join(f'<li>{x}' for x in items)}</ul></section>" if i else ""
+        rows.append(page(i, f"<body><div><p>Our motto never changes</p></div><div><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in paras)}{extra}</div><div><p>Address: Main Street</p></div></body>", "u.example"))
+        want[i] = "\n".join([title, *paras, *items])
+    assert extracted(spark, rows) == want
+
+
 def test_alignment():
     def bones(html):
         return W.skeleton(W.blocks(W.parse(html)))
