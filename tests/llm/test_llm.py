@@ -465,6 +465,22 @@ def test_blocks_beyond_the_reference_stay(spark):
     assert extracted(spark, rows) == want
 
 
+def test_only_the_templates_own_text_goes(spark):
+    """A line that is the same on 22 of 24 pages, and another on the last two; and a page with many copies."""
+    r = random.Random(23)
+    rows, want = [], {}
+    for i in range(24):
+        title, first, text = prose(r, 3), "Our motto never changes" if i < 22 else prose(r, 8), [prose(r, 12) for _ in range(3)]
+        rows.append(page(i, f"<body><div><p>{first}</p><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in text)}</div></body>", "v.example"))
+        want[i] = "\n".join([*([] if i < 22 else [first]), title, *text])
+    for i in range(100, 160):
+        text = [prose(random.Random(1 if i < 154 else i), 12) for _ in range(3)]
+        text = text if i >= 154 else [f"copy {k} {x}" for k, x in enumerate(text)]
+        rows.append(page(i, f"<head><script>at({i})</script></head><body><div>{''.join(f'<p>{x}</p>' for x in text)}</div></body>", "w.example"))
+        want[i] = "\n".join(text)
+    assert extracted(spark, rows) == want
+
+
 def test_alignment():
     def bones(html):
         return W.skeleton(W.blocks(W.parse(html)))
