@@ -481,6 +481,26 @@ def test_only_the_templates_own_text_goes(spark):
     assert extracted(spark, rows) == want
 
 
+def test_wrapper_decides_on_pages_with_articles(spark):
+    """Constant text in the article goes; a small article beside the main text doesn't hide it; one odd page stays whole."""
+    r = random.Random(24)
+    rows, want = [], {}
+    for i in range(12):
+        text = [prose(r, 12) for _ in range(1 + i % 4)]
+        rows.append(page(i, f"<body><article><p>All rights are ours</p><h1>Part {i}</h1>{''.join(f'<p>{x}</p>' for x in text)}<p>Call us today</p></article></body>", "x.example"))
+        want[i] = "\n".join([f"Part {i}", *text])
+    text = [prose(r, 40) for _ in range(4)]
+    rows.append(page(50, f"<body><article><p>All rights are ours</p><h1>Odd</h1></article><section>{''.join(f'<p>{x}</p>' for x in text)}</section></body>", "x.example"))
+    want[50] = "\n".join(["Odd", *text])
+    for i in range(100, 112):
+        text = [prose(r, 30) for _ in range(2 + i % 4)]
+        rows.append(page(i, f"<body><article><p>{prose(r, 4)}</p></article><div>{''.join(f'<p>{x}</p>' for x in text)}</div></body>", "y.example"))
+        want[i] = "\n".join(text)
+    rows.append(page(200, "<body><p>Beside</p><article><p>Alone on its host</p></article></body>", "z.example"))
+    want[200] = "Alone on its host"
+    assert extracted(spark, rows) == want
+
+
 def test_alignment():
     def bones(html):
         return W.skeleton(W.blocks(W.parse(html)))
