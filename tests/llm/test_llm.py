@@ -501,6 +501,25 @@ def test_wrapper_decides_on_pages_with_articles(spark):
     assert extracted(spark, rows) == want
 
 
+def test_names_of_wrappers(spark):
+    rows, want = [], {}
+    for i, name in enumerate(["content has-sidebar", "no-sidebar", "layout with-sidebar", "social-science", "comments-open", "sidebar wrap", "widget"]):
+        rows.append(page(i, f"<body><nav>Home</nav><div class='{name}'><article><p>Text {i}</p></article></div><div class='sidebar'>Beside</div></body>", f"n{i}.example"))
+        want[i] = f"Text {i}"
+    for i, name in enumerate(["main-nav", "cookie-notice", "ad", "widget-area", "Site_Footer", "post-share x"], 20):
+        rows.append(page(i, f"<body><div class='{name}'>Gone</div><div class='post has-comments'>Text {i}</div></body>", f"n{i}.example"))
+        want[i] = f"Text {i}"
+    rows.append(page(40, "<body><article class='post comments-open'><h1>One</h1></article><div class='related'><article>Two</article></div></body>", "n40.example"))
+    rows.append(page(41, "<body><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data='a.pdf'><p>In short</p></object></body>", "n41.example"))
+    want |= {40: "One", 41: "So x=2 holds\nIn short"}
+    r = random.Random(25)
+    for i in range(100, 112):
+        text = [prose(r, 12) for _ in range(2 + i % 4)]
+        rows.append(page(i, f"<body><p>Our motto</p><div id='main-widget'>{''.join(f'<p>{x}</p>' for x in text)}<div class='related'><p>{prose(r, 4)}</p></div></div></body>", "o.example"))
+        want[i] = "\n".join(text)
+    assert extracted(spark, rows) == want
+
+
 def test_alignment():
     def bones(html):
         return W.skeleton(W.blocks(W.parse(html)))
