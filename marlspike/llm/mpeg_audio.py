@@ -133,10 +133,19 @@ def _tags(data: bytes) -> tuple[int, int, dict]:
         at = stop if size else at + 10
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        tags.setdefault("ID3V1_TITLE", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     return at, end, tags
 
 
+def _runs_out(data: bytes, at: int, f: Frame) -> bool:
+    """Whether frames like ``f`` follow each other from ``at`` to the very last byte."""
+    while at < len(data):
+        g = header(data[at : at + 4])
+        if g is None or (g.version, g.layer, g.rate) != (f.version, f.layer, f.rate):
+            return False
+        at += g.size
+    return at == len(data)
+
+
 def _table(data: bytes, at: int, f: Frame) -> dict | None:
     """The variable-bitrate table in the frame at ``at``, if it holds one."""
     p = at + 4 + f.side
@@ -158,7 +167,8 @@ def parse(data: bytes | None) -> dict:
     """Everything about a stream. Null or no frame: zero frames and a duration of 0.
 
     A header counts if the next one, where it says, agrees in version, layer and rate, or the stream ends there; all other
-    bytes are skipped and counted in ``skipped``. ``duration_num / duration_den`` is the duration in seconds, exact.
+    bytes are skipped and counted in ``skipped``. "TAG" 128 bytes before the end is a tag unless it lies within a frame of a run
+    that ends with the stream. ``duration_num / duration_den`` is the duration in seconds, exact.
     """
     data = data or b""
     at, end, tags = _tags(data)
@@ -169,6 +179,8 @@ def parse(data: bytes | None) -> dict:
     anc: list[bytes] = []
     while at < end:
         f = header(data[at : at + 4])
+        if f is not None and at + f.size > end and end < len(data) and _runs_out(data, at, f):
+            end = len(data)
         if f is None or at + f.size > end or f.size < 4 + 2 * f.crc + f.side:
             f = None
         elif at + f.size < end and last is not f:
@@ -197,6 +209,8 @@ def parse(data: bytes | None) -> dict:
         kbits += f.kbps
         rates[f.rate] = rates.get(f.rate, 0) + f.samples
         at, last = at + f.size, f
+    if end < len(data):
+        tags.setdefault("ID3V1_TITLE", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     num, den = 0, 1
     for rate, n in sorted(rates.items()):
         num, den = num * rate + n * den, den * rate

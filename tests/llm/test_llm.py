@@ -94,6 +94,16 @@ def test_audio_headers_and_variable_rate():
     assert out["duration_num"] * 44100 == 3 * 1152 * out["duration_den"] and out["offsets"] == [417, 834, 1460] and out["mean_kbps"] > 128
 
 
+def test_a_text_that_looks_like_a_tag(spark):
+    texts = [" " * 64 + "TAG", "x" * 192 * 3 + " " * 64 + "TAG and more", "TAG" * 1000]
+    for r in mpeg_audio.parse_column(mpeg_audio.encode_column(docs_of(spark, texts))).collect():
+        raw = r["text"].encode()
+        assert r["payload"] == raw.ljust(-(-len(raw) // 192) * 192) and r["n_frames"] == len(r["payload"]) // 192 == r["crc_ok"]
+        assert r["skipped_bytes"] == 0 and dict(r["tags"]) == {"PAYLOAD_BYTES": str(len(raw))}
+    both = mpeg_audio.parse(mpeg_audio.encode((" " * 64 + "TAG").ljust(192).encode()) + b"TAG" + b"title".ljust(125, b"\0"))
+    assert both["n_frames"] == 1 and both["tags"]["ID3V1_TITLE"] == "title"
+
+
 def test_op1_digests(spark):
     import hashlib
 
