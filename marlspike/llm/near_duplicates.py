@@ -304,6 +304,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     share the text; a row with a null doc_id is linked as any other, and kept only if its component has no doc_id at all.
     An empty table gives an empty table. Other columns of ``docs`` aren't looked at.
     """
+    return _verdicts(docs, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _verdicts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``near_duplicates`` with each row's did and th, and its group: the component's node, null for texts without words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")).select("doc_id", *row_key(), "text")
     signed = cut(signatures(rows), "signed")
     has = signed.where(F.col("node").isNotNull())
@@ -330,17 +335,27 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     known = cut(roots.join(classes, "node").select("node", "root", "low"), "known")
     least = cut(known.groupBy("root").agg(F.min("low").alias("component")), "least")
-    verdict = cut(known.join(least, "root").select("node", "component"), "verdict")
-    alone = classes.where("n_rows > 1").join(verdict, "node", "left_anti").select("node", F.col("low").alias("component"))
+    verdict = cut(known.join(least, "root").select("node", "root", "component"), "verdict")
+    alone = classes.where("n_rows > 1").join(verdict, "node", "left_anti").select("node", F.col("node").alias("root"), F.col("low").alias("component"))
     verdict = cut(verdict.unionByName(alone), "verdict")
-    out = signed.select("doc_id", "n_shingles", "node").join(verdict, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = signed.select("doc_id", "did", "th", "n_shingles", "node").join(verdict, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")))
+    return out.select("doc_id", "did", "th", F.coalesce("root", "node").alias("group"), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns. Texts move once, in a sort-merge join at every size."""
-    kept = cut(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept").hint("merge")
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of ``docs`` of each group that ``near_duplicates`` links, with all its columns: that of the smallest doc_id.
+
+    Rows are told apart by doc_id and text. Where several of a group are kept (they share the doc_id, or have none), one of them
+    stays, and of rows equal in both one. Texts without words are groups of their own. Texts move once, in a sort-merge join at
+    every size.
+    """
+    own = F.concat(F.lit("a row without words "), F.concat_ws(" ", "did", "th")).cast("binary")  # longer than a node
+    kept = _verdicts(docs).where("kept").groupBy(F.coalesce("group", own).alias("group")).agg(F.min(F.struct("did", "th")).alias("one"))
+    kept = cut(kept.select(F.col("one.did").alias("_kept_did"), F.col("one.th").alias("_kept_th")), "kept").hint("merge")
+    did, th = row_key()
+    keyed = docs.withColumns({"_row_did": did, "_row_th": th})
+    found = keyed.join(kept, (F.col("_row_did") == F.col("_kept_did")) & (F.col("_row_th") == F.col("_kept_th")), "left_semi")
+    return found.dropDuplicates(["_row_did", "_row_th"]).drop("_row_did", "_row_th")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlspike.llm import mixing
+from marlspike.llm.near_duplicates import keep_one
 from tests.llm import brute
 from tests.llm.test_llm import DOCS, SF, docs_of, edited, frame, prose
 
@@ -44,6 +45,18 @@ def test_stages_keep_columns_and_edges(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 0
 
 
+def test_one_of_each_group_where_ids_repeat(spark):
+    r = random.Random(26)
+    a, b, c, d, e = (prose(r, 80) for _ in range(5))
+    near = lambda x: x + " end"
+    texts = [(3, near(a)), (5, a), (5, b), (6, c), (6, c), (6, near(c)), (None, d), (None, near(d)), (None, e), (None, near(b)), (None, ""), (None, ""), (8, " "), (8, "")]
+    got = keep_one(docs_of(spark, [t for _, t in texts], [i for i, _ in texts]))
+    rows = sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=repr)
+    loose = [x for x in rows if x not in [(6, c), (6, near(c)), (None, d), (None, near(d))]]
+    assert loose == sorted([(3, near(a)), (5, b), (None, e), (None, ""), (8, " "), (8, "")], key=repr)
+    assert sum(i == 6 for i, _ in rows) == 1 and sum(x in (d, near(d)) for _, x in rows) == 1
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near duplicates", "mixing", "sentence pieces"]
     assert frame and DOCS
