@@ -84,6 +84,43 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def _protected(data: bytes, at: int, f: Frame) -> int:
+    """How many bits after the CRC of the frame at ``at`` it covers: side information, or Layers I and II's bit allocation
+    and, in Layer II, the selection of scale factors (two bits for each allocated band of a channel)."""
+    if f.layer == 3:
+        return 8 * f.side
+    joint = 4 * (data[at + 3] >> 4 & 3) + 4 if data[at + 3] >> 6 == 1 else 32  # from this band on both channels share bits
+    if f.layer == 1:
+        return 128 if f.mono else 4 * (32 + joint)
+    kbps = f.kbps if f.mono else f.kbps // 2
+    if f.version == 2:
+        widths = (4,) * 4 + (3,) * 7 + (2,) * 19
+    elif kbps < 56:
+        widths = (4,) * 2 + (3,) * (10 if f.rate == 32000 else 6)
+    else:
+        widths = (4,) * 11 + (3,) * 12 + (2,) * (7 if kbps >= 96 and f.rate != 48000 else 4)
+    bits, size = int.from_bytes(data[at + 6 : at + f.size], "big"), 8 * (f.size - 6)
+    used = chosen = 0
+    for band, width in enumerate(widths):
+        for _ in range(1 if f.mono or band >= joint else 2):
+            used += width
+            if used <= size and bits >> size - used & (1 << width) - 1:
+                chosen += 4 if not f.mono and band >= joint else 2
+    return used + chosen
+
+
+def crc_fits(data: bytes, at: int, f: Frame) -> bool:
+    """Whether the CRC-16 of the protected frame at ``at`` is right."""
+    n = _protected(data, at, f)
+    if n > 8 * (f.size - 6):
+        return False
+    c = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + n // 8])
+    for i in range(n % 8):
+        bit = data[at + 6 + n // 8] >> 7 - i & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ bit else 0)
+    return c == data[at + 4] << 8 | data[at + 5]
+
+
 def _synchsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -159,7 +196,13 @@ def _table(data: bytes, at: int, f: Frame) -> dict | None:
         return out
     p = at + 36
     if f.layer == 3 and data[p : p + 4] == b"VBRI" and len(data) >= p + 18:
-        return {"kind": "VBRI", "bytes": int.from_bytes(data[p + 10 : p + 14], "big"), "frames": int.from_bytes(data[p + 14 : p + 18], "big")}
+        out = {"kind": "VBRI", "bytes": int.from_bytes(data[p + 10 : p + 14], "big"), "frames": int.from_bytes(data[p + 14 : p + 18], "big")}
+        if len(data) >= p + 26:
+            entries, scale, size, step = struct.unpack(">HHHH", data[p + 18 : p + 26])
+            if entries and size and len(data) >= p + 26 + entries * size:
+                out["toc"] = [scale * int.from_bytes(data[q : q + size], "big") for q in range(p + 26, p + 26 + entries * size, size)]
+                out["frames_per_entry"] = step
+        return out
     return None
 
 
@@ -197,8 +240,8 @@ def parse(data: bytes | None) -> dict:
             if table:
                 at, last = at + f.size, f
                 continue
-        if f.crc and f.layer == 3:
-            if crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + f.side]) == data[at + 4] << 8 | data[at + 5]:
+        if f.crc:
+            if crc_fits(data, at, f):
                 crc_ok += 1
             else:
                 crc_bad += 1

@@ -94,6 +94,32 @@ def test_audio_headers_and_variable_rate():
     assert out["duration_num"] * 44100 == 3 * 1152 * out["duration_den"] and out["offsets"] == [417, 834, 1460] and out["mean_kbps"] > 128
 
 
+def test_crc_of_layers_1_and_2_and_vbri_table():
+    def stream(head, covered):
+        f, c = mpeg_audio.header(head), 0xFFFF
+        for b in f"{int.from_bytes(head[2:4], 'big'):016b}" + covered:
+            c = (c << 1 & 0xFFFF) ^ (0x8005 if c >> 15 != int(b) else 0)
+        return (head + struct.pack(">H", c) + int(covered.ljust(8 * (f.size - 6), "1"), 2).to_bytes(f.size - 6, "big")) * 2
+
+    cases = [
+        (bytes((0xFF, 0xFE, 0xC4, 0x00)), "0101" * 64),  # Layer I, stereo
+        (bytes((0xFF, 0xFE, 0xC4, 0x50)), "0101" * 40),  # joint stereo from band 8 on
+        (bytes((0xFF, 0xFE, 0xC4, 0xC0)), "0101" * 32),  # mono
+        (bytes((0xFF, 0xFC, 0x84, 0xC0)), "0001" + "0000" * 10 + "000" * 11 + "001" + "00" * 4 + "10" * 2),  # Layer II, mono, 48 kHz
+        (bytes((0xFF, 0xFC, 0xA4, 0x40)), "0001" * 2 + "0000" * 6 + "0001" + "0000" * 6 + "000" * 12 + "00" * 4 + "10" * 4),  # joint from band 4 on
+    ]
+    for head, covered in cases:
+        good = stream(head, covered)
+        assert (mpeg_audio.parse(good)["crc_ok"], mpeg_audio.parse(good)["crc_bad"]) == (2, 0), (head, covered)
+        bad = bytearray(good)
+        bad[6] ^= 0x10
+        assert (mpeg_audio.parse(bytes(bad))["crc_ok"], mpeg_audio.parse(bytes(bad))["crc_bad"]) == (1, 1)
+    one = bytes((0xFF, 0xFB, 0x90, 0x00))
+    vbri = one + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHHHH", 1, 0, 0, 999, 3, 2, 10, 2, 2, 83, 42)
+    table = mpeg_audio.parse(vbri.ljust(417, b"\0") + one.ljust(417, b"\0") * 2)["table"]
+    assert table["toc"] == [830, 420] and table["frames_per_entry"] == 2
+
+
 def test_a_text_that_looks_like_a_tag(spark):
     texts = [" " * 64 + "TAG", "x" * 192 * 3 + " " * 64 + "TAG and more", "TAG" * 1000]
     for r in mpeg_audio.parse_column(mpeg_audio.encode_column(docs_of(spark, texts))).collect():
