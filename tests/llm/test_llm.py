@@ -237,30 +237,77 @@ def test_counts_equal_library(spark):
 
 # 4: chat formatting
 
+FLAT = {
+    "ask": {"type": "object", "required": ["query", "turn"], "additionalProperties": False, "properties": {"query": {"type": "string"}, "turn": {"type": "integer"}}},
+    "configure": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}, "strict": {"type": "boolean"}}},
+}
+
 
 def test_tool_calls(spark):
     ok = json.dumps({"turn": 1, "query": "q\n\"é\""})
     calls = frame(
         spark,
-        [("a", None, "ask", ok), ("b", "a", "ask", ok), ("c", "b", "ask", '{"query":1,"turn":2}'), ("d", "gone", "other", "{}"), ("e", "f", "ask", ok), ("f", "e", "ask", ok), ("g", "f", "ask", ok), ("h", "h", "ask", ok),
-         ("i", "b", "configure", '{"prompt":"p","turn":3,"strict":true}'), ("j", "b", "configure", '{"prompt":"p","turn":3,"strict":1}'), ("k", None, "ask", None), ("l", None, "ask", '{"query":"x","turn":1,"more":2}'),
-         ("m", "l", "ask", '{"query":"x","query":"y","turn":1}'), (None, "a", "ask", ok), ("a", None, "ask", ok), ("n", "a", None, ok)],
-        "id string, parent string, name string, arguments string",
-    )
-    results = frame(spark, [("a", 2, "late"), ("a", 1, "first"), ("b", 1, None), ("z", 1, "nobody's"), ("i", 1, "r"), (None, 1, "x")], "id string, seq long, content string")
-    got = {r["id"]: r for r in chat_tools.link_calls(calls, results).where("id IS NOT NULL").collect()}
+        [("a", None, "ask", ok), ("b", ["a", None, "a"], "ask", ok), ("c", ["b"], "ask", '{"query":1,"turn":2}'), ("d", ["gone"], "other", "{}"), ("e", ["f"], "ask", ok), ("f", ["e"], "ask", ok), ("g", ["f", "a"], "ask", ok), ("h", ["h"], "ask", ok),
+         ("i", ["b"], "configure", '{"prompt":"p","turn":3,"strict":true}'), ("j", ["b", "a", "c"], "configure", '{"prompt":"p","turn":3,"strict":1}'), ("k", None, "ask", None), ("l", [], "ask", '{"query":"x","turn":1,"more":2}'),
+         ("m", ["l"], "ask", '{"query":"x","query":"y","turn":1}'), (None, ["a"], "ask", ok), (None, ["a"], "ask", ok), (None, None, "ask", None), ("a", None, "ask", ok), ("n", ["a"], None, ok),
+         ("q", ["a"], "ask", ok), ("q", ["b"], "ask", ok), ("q", ["a"], "ask", '{"turn":0}'), ("s", ["a"], "ask", ok + " " * 300_000)],
+        "id string, parents array<string>, name string, arguments string",
+    ).withColumn("status", F.lit("clash"))
+    results = frame(spark, [("a", 2, "late"), ("a", 1, "first"), ("b", 1, None), ("z", 1, "nobody's"), ("i", 1, "r"), (None, 1, "x"), ("q", 1, "r"), ("s", 1, "r" * 200_000)], "id string, seq long, content string")
+    rows = chat_tools.link_calls(calls, results, FLAT).collect()
+    assert sum(r["n_calls"] for r in rows) == calls.count() and sum(r["n_results"] for r in rows) == results.count()
+    assert sorted((r["status"], r["n_calls"], r["n_results"]) for r in rows if r["id"] is None) == [("no_id", 1, 0), ("no_id", 2, 0), ("orphan_result", 0, 1)]
+    twice = sorted((r["status"], r["n_results"], r["level"] is None) for r in rows if r["id"] == "q")
+    assert twice == [("duplicate_id", 0, True), ("duplicate_id", 0, True), ("invalid_arguments", 1, False)] or twice == [("duplicate_id", 0, True), ("duplicate_id", 0, True), ("ok", 1, False)]
+    got = {r["id"]: r for r in rows if r["id"] not in (None, "q")}
     status = {k: r["status"] for k, r in got.items()}
-    assert status == dict(a="ok", b="ok", c="invalid_arguments", d="unknown_tool", e="cycle", f="cycle", g="cycle", h="cycle", i="ok", j="invalid_arguments", k="invalid_arguments", l="invalid_arguments", m="invalid_arguments", n="unknown_tool", z="orphan_result")
-    assert [got[k]["level"] for k in "abcdeglm"] == [0, 1, 2, 0, None, None, 0, 1] and got["a"]["n_results"] == 2
+    assert status == dict(a="ok", b="ok", c="invalid_arguments", d="unknown_tool", e="cycle", f="cycle", g="cycle", h="cycle", i="ok", j="invalid_arguments", k="invalid_arguments", l="invalid_arguments", m="invalid_arguments", n="unknown_tool", s="ok", z="orphan_result")
+    assert [got[k]["level"] for k in "abcdegijlm"] == [0, 1, 2, 0, None, None, 2, 3, 0, 1] and (got["a"]["n_results"], got["a"]["n_calls"]) == (2, 2)
     want = {"arguments": {"query": "q\n\"é\"", "turn": 1}, "id": "a", "level": 0, "name": "ask", "result": "first"}
     assert got["a"]["message"] == json.dumps(want, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
     empty = chat_tools.link_calls(calls.limit(0), results.limit(0))
     assert empty.count() == 0
 
 
-def test_long_chain(spark):
-    chain = frame(spark, [(f"{i}", f"{i - 1}" if i else None) for i in range(300)], "id string, parent string")
+def test_schemas(spark):
+    schema = {"t": {"type": "object", "required": ["a"], "properties": {
+        "a": {"type": "array", "minItems": 1, "maxItems": 3, "items": {"type": "object", "required": ["n"], "additionalProperties": False, "properties": {"n": {"type": "number", "minimum": 0, "maximum": 9.5}}}},
+        "e": {"enum": ["x", 1, None]}, "s": {"type": "string", "minLength": 2, "maxLength": 3}, "z": {"type": "null"}, "i": {"type": "integer"}}}}
+    cases = {
+        '{"a":[{"n":1},{"n":9.5}]}': True, '{"a":[]}': False, '{"a":[{"n":-1}]}': False, '{"a":[{"n":9.51}]}': False, '{"a":[{"n":"1"}]}': False, '{"a":[{}]}': False, '{"a":[{"n":1,"m":2}]}': False,
+        '{"a":[1]}': False, '{"a":{"n":1}}': False, '{"b":1}': False, '{"a":[{"n":0},{"n":0},{"n":0},{"n":0}]}': False, '{"a":[{"n":0}],"other":{"deep":[1]}}': True, '{"a":[{"n":0}],"e":"x"}': True,
+        '{"a":[{"n":0}],"e":1}': True, '{"a":[{"n":0}],"e":null}': True, '{"a":[{"n":0}],"e":"y"}': False, '{"a":[{"n":0}],"s":"é😀"}': True, '{"a":[{"n":0}],"s":"abcd"}': False, '{"a":[{"n":0}],"s":"a"}': False,
+        '{"a":[{"n":0}],"z":null}': True, '{"a":[{"n":0}],"z":0}': False, '{"a":[{"n":0}],"i":123456789012345678901}': True, '{"a":[{"n":0}],"i":1.5}': False, "[1]": False, "null": False, "{": False, "": False,
+    }
+    df = frame(spark, [(str(i), None, "t", a) for i, a in enumerate(cases)], "id string, parents array<string>, name string, arguments string")
+    none = frame(spark, [], "id string, seq long, content string")
+    got = {int(r["id"]): r["status"] == "no_result" for r in chat_tools.link_calls(df, none, schema).collect()}
+    assert [a for i, a in enumerate(cases) if got[i] != cases[a]] == []
+    with pytest.raises(ValueError, match="pattern"):
+        chat_tools.fits(F.col("x"), {"pattern": "x"})
+
+
+def test_order_of_dependencies(spark):
+    chain = frame(spark, [(f"{i}", [f"{i - 1}"] if i else None) for i in range(300)], "id string, parents array<string>")
     assert {int(r["id"]): r["level"] for r in chat_tools.topological_levels(chain).collect()} == {i: i for i in range(300)}
+    r = random.Random(31)
+    for cyclic in (False, True):
+        above = {i: r.sample(range(max(0, i - 9), i), min(i, r.choice([0, 1, 1, 1, 2, 3]))) for i in range(60)}
+        if cyclic:
+            above[20] = [*above[20], 33]
+            above[33] = [*above[33], 20]
+        level = {}
+        while ready := {i: 1 + max((level[p] for p in ps), default=-1) for i, ps in above.items() if i not in level and all(p in level for p in ps)}:
+            level |= ready
+        df = frame(spark, [(f"{i}", [f"{p}" for p in ps]) for i, ps in above.items()], "id string, parents array<string>")
+        assert {int(x["id"]): (x["level"], x["cyclic"]) for x in chat_tools.topological_levels(df).collect()} == {i: (level.get(i), i not in level) for i in above}
+
+
+def test_conversations_lose_nothing(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "hello"), (1, 1, "user", "hello"), (1, 1, "user", "other"), (1, 2, "assistant", "r"), (1, 3, None, "x"), (1, 4, "tool", None), (None, 0, "user", "y"), (2, None, "user", "y"), (2, 0, "user", None), (2, 5, "assistant", None), (3, 0, "user", "l" * 400), (3, 1, "assistant", "r")]
+    got = chat_tools.link_calls(*chat_tools.from_conversations(frame(spark, rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sum(r["n_calls"] + r["n_results"] for r in got) == len(rows)
+    assert sorted(r["status"] for r in got) == ["duplicate_id", "invalid_arguments", "invalid_arguments", "no_id", "no_id", "no_result", "ok", "orphan_result", "unknown_tool", "unknown_tool"]
 
 
 # 5: token files
