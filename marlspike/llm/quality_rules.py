@@ -1,8 +1,10 @@
 """Quality rules with host-level verdicts, in DataFrame functions only.
 
-Each text gets its counts and a base verdict. Failures are aggregated by host; a host's failure rate is shrunk towards the
-mean by a beta prior that is fitted to all hosts by moments, and hosts whose shrunk rate exceeds a threshold are rejected
-with all their documents. What is aggregated is one row per host and task, so a hot host needs no salting.
+Each text gets its counts, and fails some of RULES or none. Failures of each rule are aggregated by host; a host's failure rate
+is shrunk towards the rule's mean by a beta prior that is fitted to all hosts by moments, one prior a rule. A host whose shrunk
+rate of any rule exceeds MAX_HOST_RATE is rejected with all its documents. On others the host's verdict on a rule is strict, if the
+rule fails there often enough to be no accident (STRICT_RATE), and documents that fail it go; or else lenient, and they stay.
+BASE rules hold on every host. What is aggregated is one row per host and task, so a hot host needs no salting.
 """
 
 from __future__ import annotations
@@ -17,8 +19,17 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes if its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: Rule -> what fails it, in SQL that holds on both engines.
+RULES = {
+    "few_words": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "100 * n_symbols > 10 * n_words",
+    "dup_lines": "100 * n_dup_lines > 30 * n_lines",
+    "word_length": "word_chars > 12 * n_words OR word_chars < 2 * n_words",
+}
+BASE = ("few_words", "repeats")
+#: A host goes if a shrunk failure rate is above this; above the lower one, its documents that fail the rule go.
+MAX_HOST_RATE, STRICT_RATE = 0.5, 0.02
 #: Bounds of the prior's weight (alpha + beta), in documents.
 MIN_WEIGHT, MAX_WEIGHT = 1.0, 1000.0
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -41,15 +52,16 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the five counts (null text: all 0) and base_failed; columns of these names are replaced."""
+    """``df`` with the five counts (null text: all 0), n_lines (with a word) and base_failed; columns of these names are replaced."""
     t = text_of(text)
-    df = df.drop(*COUNTS, "base_failed").withColumn("_t", t).withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
+    df = df.drop(*COUNTS, "n_lines", "base_failed").withColumn("_t", t).withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     df = df.withColumn("_l", lines).withColumns(
         {
             "n_words": F.size("_w").cast("long"),
             "word_chars": F.length(F.translate("_t", SPACES, "")).cast("long"),
             "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
+            "n_lines": F.size("_l").cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         }
     )
@@ -58,37 +70,46 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return F.expr(" OR ".join(f"({RULES[r]})" for r in BASE))
 
 
 def host_verdicts(counted: DataFrame, host: str = "host") -> DataFrame:
-    """One row per host: n_docs, n_failed, host_rate (shrunk), host_rejected. Null is a host of its own.
+    """One row per host: n_docs; of each rule its shrunk rate (rate_<rule>); host_rejected; strict, the rules that hold there.
 
-    Prior: mean m of all documents' failures; weight m(1-m)/v - 1 for the variance v of the hosts' rates, within bounds; the
-    upper bound where the rates don't vary. Rates are rounded to 9 digits before they are compared.
+    Null is a host of its own. A rule's prior: mean m of all documents' failures; weight m(1-m)/v - 1 for the variance v of the
+    hosts' rates, within bounds; the upper bound where the rates don't vary. Rates are rounded to 9 digits before they are compared.
     """
-    hosts = cut(counted.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("base_failed").alias("n_failed")), "hosts")
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.coalesce(F.sum("n_failed") / F.sum("n_docs"), F.lit(0.0)).alias("m"), F.coalesce(F.round(F.var_pop(rate), 12), F.lit(0.0)).alias("v")).select(
-        "m",
-        F.when(F.col("v") > 0, F.greatest(F.lit(MIN_WEIGHT), F.least(F.lit(MAX_WEIGHT), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(MAX_WEIGHT)).alias("weight"),
-    )
-    out = hosts.crossJoin(F.broadcast(prior))  # the prior is one row
-    out = out.withColumn("host_rate", F.round((F.col("n_failed") + F.col("m") * F.col("weight")) / (F.col("n_docs") + F.col("weight")), 9))
-    return out.select(host, "n_docs", "n_failed", "host_rate", (F.col("host_rate") > MAX_HOST_RATE).alias("host_rejected"))
+    failed = [F.count_if(F.expr(c)).alias(f"k_{r}") for r, c in RULES.items()]
+    hosts = cut(counted.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), *failed), "hosts")
+    total = F.sum("n_docs")
+    prior = hosts.agg(*(x for r in RULES for x in (F.coalesce(F.sum(f"k_{r}") / total, F.lit(0.0)).alias(f"m_{r}"), F.coalesce(F.round(F.var_pop(F.col(f"k_{r}") / F.col("n_docs")), 12), F.lit(0.0)).alias(f"v_{r}"))))
+    out = hosts.crossJoin(F.broadcast(prior))  # the priors are one row
+    for r in RULES:
+        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
+        weight = F.when(v > 0, F.greatest(F.lit(MIN_WEIGHT), F.least(F.lit(MAX_WEIGHT), m * (1 - m) / v - 1))).otherwise(F.lit(MAX_WEIGHT))
+        out = out.withColumn(f"_w_{r}", weight).withColumn(f"rate_{r}", F.round((F.col(f"k_{r}") + m * F.col(f"_w_{r}")) / (F.col("n_docs") + F.col(f"_w_{r}")), 9))
+    rates = [F.col(f"rate_{r}") for r in RULES]
+    strict = F.filter(F.array(*(F.when(F.lit(r in BASE) | (F.col(f"rate_{r}") > STRICT_RATE), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
+    return out.select(host, "n_docs", *rates, (F.greatest(*rates) > MAX_HOST_RATE).alias("host_rejected"), strict.alias("strict"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, did, th, host, the counts, base_failed, host_rate, kept.
+    """One row per row of ``docs``: doc_id, did, th, host, the counts, base_failed, host_rate (the largest of a rule), kept, reason.
 
-    Null texts have no words and fail. Null hosts are one host. Repeated rows each count for their host. Columns of other
-    names aren't looked at; an empty table gives an empty table.
+    reason: null if kept, else the first that holds of base, host, and the rules in their order. Null texts have no words and
+    fail. Null hosts are one host. Repeated rows each count for their host. Columns of other names aren't looked at; an empty
+    table gives an empty table.
     """
     rows = docs.select(F.col("doc_id"), *row_key(), F.col(host).cast("string").alias("host"), text_of(text).alias("text"))
     counted = cut(counts(rows).drop("text"), "counted")
     hosts = cut(host_verdicts(counted), "verdicts").withColumnRenamed("host", "_host")
     out = counted.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
-    return out.select("doc_id", "did", "th", "host", *COUNTS, "base_failed", "host_rate", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))
+    reason = F.when(F.col("base_failed"), "base").when(F.col("host_rejected"), "host")
+    for r, failed in RULES.items():
+        if r not in BASE:
+            reason = reason.when(F.expr(failed) & F.array_contains("strict", r), r)
+    out = out.withColumn("reason", reason).withColumn("host_rate", F.greatest(*(f"rate_{r}" for r in RULES)))
+    return out.select("doc_id", "did", "th", "host", *COUNTS, "base_failed", "host_rate", F.col("reason").isNull().alias("kept"), "reason")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -100,7 +121,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     out = quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", *COUNTS, "base_failed", "kept", "host_rate")
+    return out.select("doc_id", *COUNTS, "base_failed", "kept", "host_rate", "reason")
 
 
 SQL = r"""
@@ -110,19 +131,23 @@ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
 b AS (SELECT rid, doc_id, source, len(ws) AS n_words, ws,
              coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
-             len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM w),
+             len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM w),
 g AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS k
       FROM b WHERE len(ws) >= 3),
 h AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM g),
 s AS (SELECT rid, i, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 3) AS gap FROM h WHERE n > 1),
 r AS (SELECT rid, sum(least(3, gap))::BIGINT AS n_repeat_words FROM s GROUP BY rid),
-f AS (SELECT b.rid, doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-             n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM b LEFT JOIN r USING (rid)),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f GROUP BY source),
-p AS (SELECT sum(k) / sum(n) AS m, round(var_pop(k / n), 12) AS v FROM hosts),
-q AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS weight FROM p),
-z AS (SELECT source, round((k + m * weight) / (n + weight), 9) AS host_rate FROM hosts, q)
+c AS (SELECT b.rid, doc_id, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM b LEFT JOIN r USING (rid)),
+""" + f"""
+f AS (SELECT *, {", ".join(f"{c} AS f_{r}" for r, c in RULES.items())}, {" OR ".join(f"({RULES[r]})" for r in BASE)} AS base_failed FROM c),
+hosts AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER (f_{r}) AS k_{r}" for r in RULES)} FROM f GROUP BY source),
+p AS (SELECT {", ".join(f"sum(k_{r}) / sum(n) AS m_{r}, round(var_pop(k_{r} / n), 12) AS v_{r}" for r in RULES)} FROM hosts),
+q AS (SELECT *, {", ".join(f"CASE WHEN v_{r} > 0 THEN greatest({MIN_WEIGHT}, least({MAX_WEIGHT}, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE {MAX_WEIGHT} END AS w_{r}" for r in RULES)} FROM p),
+z AS (SELECT source, {", ".join(f"round((k_{r} + m_{r} * w_{r}) / (n + w_{r}), 9) AS rate_{r}" for r in RULES)} FROM hosts, q),
+x AS (SELECT *, greatest({", ".join(f"rate_{r}" for r in RULES)}) AS host_rate FROM z),
+v AS (SELECT f.*, host_rate, CASE WHEN base_failed THEN 'base' WHEN host_rate > {MAX_HOST_RATE} THEN 'host' {" ".join(f"WHEN f_{r} AND rate_{r} > {STRICT_RATE} THEN '{r}'" for r in RULES if r not in BASE)} END AS reason
+      FROM f JOIN x ON f.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words,
-       base_failed, NOT base_failed AND NOT host_rate > 0.5 AS kept, host_rate
-FROM f JOIN z ON f.source IS NOT DISTINCT FROM z.source
+       base_failed, reason IS NULL AS kept, host_rate, reason
+FROM v
 """

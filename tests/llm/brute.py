@@ -45,7 +45,7 @@ def near(docs):
 
 
 def quality(docs):
-    """docs: (doc_id, source, text) -> list of (doc_id, counts..., base_failed, kept, rate)."""
+    """docs: (doc_id, source, text) -> list of (doc_id, counts..., base_failed, kept, host_rate, reason)."""
     rows = []
     for d, s, t in docs:
         t = t or ""
@@ -54,20 +54,29 @@ def quality(docs):
         grams = Counter(tuple(w[i : i + 3]) for i in range(n - 2))
         covered = {j for i in range(n - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
-        failed = n < 50 or 100 * len(covered) > 50 * n
-        rows.append((d, s, n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed))
-    by = defaultdict(list)
-    for r in rows:
-        by[r[1]].append(r[7])
-    if not rows:
-        return []
-    m = sum(r[7] for r in rows) / len(rows)
-    rates = [sum(x) / len(x) for x in by.values()]
-    mean = sum(rates) / len(rates)
-    v = round(sum((x - mean) ** 2 for x in rates) / len(rates), 12)
-    weight = max(1.0, min(1000.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
-    rate = {s: round((sum(x) + m * weight) / (len(x) + weight), 9) for s, x in by.items()}
-    return [(r[0], *r[2:8], not r[7] and not rate[r[1]] > 0.5, rate[r[1]]) for r in rows]
+        chars, symbols, dup = sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines))
+        failed = {"few_words": n < 50, "repeats": 100 * len(covered) > 50 * n, "symbols": 100 * symbols > 10 * n, "dup_lines": 100 * dup > 30 * len(lines), "word_length": chars > 12 * n or chars < 2 * n}
+        rows.append(((d, n, chars, symbols, dup, len(covered)), s, failed))
+    rates = defaultdict(dict)
+    for rule in ("few_words", "repeats", "symbols", "dup_lines", "word_length"):
+        by = defaultdict(list)
+        for _, s, failed in rows:
+            by[s].append(failed[rule])
+        if not rows:
+            return []
+        m = sum(f[rule] for _, _, f in rows) / len(rows)
+        raw = [sum(x) / len(x) for x in by.values()]
+        mean = sum(raw) / len(raw)
+        v = round(sum((x - mean) ** 2 for x in raw) / len(raw), 12)
+        weight = max(1.0, min(1000.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
+        for s, x in by.items():
+            rates[s][rule] = round((sum(x) + m * weight) / (len(x) + weight), 9)
+    out = []
+    for r, s, failed in rows:
+        base = failed["few_words"] or failed["repeats"]
+        reason = "base" if base else "host" if max(rates[s].values()) > 0.5 else next((k for k in ("symbols", "dup_lines", "word_length") if failed[k] and rates[s][k] > 0.02), None)
+        out.append((*r, base, reason is None, max(rates[s].values()), reason))
+    return out
 
 
 def lines(docs, least=50):

@@ -11,7 +11,7 @@ from tests.llm.test_llm import DOCS, SF, docs_of, edited, frame, prose
 
 def brute_pipeline(rows):
     """rows: (doc_id, text, lang, source) -> doc_id -> (copies, text)."""
-    good = {d for (d, *_, kept, _rate) in brute.quality([(d, s, t) for d, t, _, s in rows]) if kept}
+    good = {d for (d, *_, kept, _rate, _why) in brute.quality([(d, s, t) for d, t, _, s in rows]) if kept}
     rows = sorted((r for r in rows if r[0] in good), key=lambda r: r[0])
     cut = brute.lines([(r[0], r[1]) for r in rows])
     rows = [(r[0], t, *r[2:]) for r, (t, n, gone) in zip(rows, cut, strict=True) if gone == 0 or gone < n]
