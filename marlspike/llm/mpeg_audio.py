@@ -2,8 +2,8 @@
 
 ``encode`` stores any bytes losslessly as a valid, silent MPEG-1 Layer III stream: the bytes travel as the frames'
 ancillary data. ``parse`` reads any MPEG-1/2/2.5 Layer I-III stream: it skips tags, resynchronises on frame headers,
-reads variable-bitrate tables (Xing, Info, VBRI), verifies the frames' CRC-16 and gives the exact duration and the
-offset of each frame. Both work on one row at a time, so memory is bounded by the longest row.
+reads variable-bitrate tables (Xing, Info, VBRI) with the encoder's delay and padding, verifies the frames' CRC-16 and gives the
+exact duration and the offset of each frame. Both work on one row at a time, so memory is bounded by the longest row.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ BITRATES = {
     (2, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
     (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+#: What starts the extension of a Xing or Info table that holds the encoder's delay and padding (fixed values).
+ENCODERS = (b"LAME", b"Lavf", b"Lavc")
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 
@@ -150,34 +152,85 @@ def encode(payload: bytes, length: int | None = None) -> bytes:
     return id3 + info.ljust(_SIZE, b"\0") + frames.tobytes()
 
 
+def _synchsafe_value(raw: bytes) -> int:
+    n = 0
+    for b in raw:
+        n = n << 7 | b & 127
+    return n
+
+
+def _joined(data: bytes) -> bytes:
+    """Bytes of a tag with unsynchronisation undone: a zero after 0xFF was put there by the writer."""
+    return data.replace(b"\xff\x00", b"\xff")
+
+
+def _text_frames(major: int, flags: int, body: bytes) -> dict:
+    """The text fields of a tag's body. Major 2 has short frame headers, 3 an extended header without its own size in it and
+    unsynchronisation as a whole, 4 synchsafe sizes, and unsynchronisation by frame."""
+    tags: dict[str, str] = {}
+    if flags & 0x80 and major < 4:
+        body = _joined(body)
+    p = 0
+    if flags & 0x40 and major == 3:
+        p = 4 + int.from_bytes(body[:4], "big")
+    elif flags & 0x40 and major == 4:
+        p = _synchsafe_value(body[:4])
+    head = 6 if major == 2 else 10
+    while p + head <= len(body) and body[p : p + 1].isalnum():
+        if major == 2:
+            name, n, own = body[p : p + 3].decode("latin-1"), int.from_bytes(body[p + 3 : p + 6], "big"), 0
+        else:
+            name, raw, own = body[p : p + 4].decode("latin-1"), body[p + 4 : p + 8], body[p + 9]
+            n = int.from_bytes(raw, "big") if major == 3 else _synchsafe_value(raw)
+        value = body[p + head : p + head + n]
+        p += head + n
+        if major == 4:
+            if own & 2 or flags & 0x80:
+                value = _joined(value)
+            if own & 1:  # the length without unsynchronisation comes first
+                value = value[4:]
+        if name[0] == "T" and value and not own & (0xC0 if major == 3 else 0x0C):  # neither compressed nor encrypted
+            text = value[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(value[0], 3)], "replace")
+            key, _, rest = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
+            tags[key] = rest.rstrip("\0")
+    return tags
+
+
 def _tags(data: bytes) -> tuple[int, int, dict]:
     """Where audio may start and must end, and the tags' text fields."""
     at, end, tags = 0, len(data), {}
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
-        size = 0
-        for b in data[at + 6 : at + 10]:
-            size = size << 7 | b & 127
-        stop, p, major = min(at + 10 + size, len(data)), at + 10, data[at + 3]
-        while major in (3, 4) and p + 10 <= stop and data[p : p + 1].isalnum():
-            name, raw = data[p : p + 4].decode("latin-1"), data[p + 4 : p + 8]
-            n = int.from_bytes(raw, "big") if major == 3 else sum((b & 127) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True))
-            value = data[p + 10 : min(p + 10 + n, stop)]
-            if name[0] == "T" and value:
-                text = value[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(value[0], 3)], "replace")
-                key, _, rest = text.partition("\0") if name == "TXXX" else (name, "", text)
-                tags[key] = rest.rstrip("\0")
-            p += 10 + n
-        at = stop if size else at + 10
+        major, flags, size = data[at + 3], data[at + 5], _synchsafe_value(data[at + 6 : at + 10])
+        if major in (2, 3, 4):
+            tags |= _text_frames(major, flags, data[at + 10 : min(at + 10 + size, end)])
+        at = min(at + 10 + size + (10 if major == 4 and flags & 0x10 else 0), end)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
     return at, end, tags
 
 
+def _agrees(data: bytes, at: int, f: Frame) -> Frame | None:
+    """The frame at ``at``, if it is like ``f`` in version, layer and rate."""
+    g = header(data[at : at + 4])
+    return g if g is not None and (g.version, g.layer, g.rate) == (f.version, f.layer, f.rate) else None
+
+
+def _stands(data: bytes, at: int, f: Frame, end: int) -> bool:
+    """Whether a frame that follows another one counts although what comes after it is damaged: no run of frames starts in it."""
+    p = data.find(b"\xff", at + 1, at + f.size)
+    while p >= 0:
+        g = _agrees(data, p, f)
+        if g and (p + g.size == end or p + g.size < end and _agrees(data, p + g.size, f)):
+            return False
+        p = data.find(b"\xff", p + 1, at + f.size)
+    return True
+
+
 def _runs_out(data: bytes, at: int, f: Frame) -> bool:
     """Whether frames like ``f`` follow each other from ``at`` to the very last byte."""
     while at < len(data):
-        g = header(data[at : at + 4])
-        if g is None or (g.version, g.layer, g.rate) != (f.version, f.layer, f.rate):
+        g = _agrees(data, at, f)
+        if g is None:
             return False
         at += g.size
     return at == len(data)
@@ -192,7 +245,11 @@ def _table(data: bytes, at: int, f: Frame) -> dict | None:
             if flags & bit and len(data) >= p + 4:
                 out[key], p = int.from_bytes(data[p : p + 4], "big"), p + 4
         if flags & 4:
-            out["toc"] = list(data[p : p + 100])
+            out["toc"], p = list(data[p : p + 100]), p + 100
+        p += 4 if flags & 8 else 0
+        if data[p : p + 4] in ENCODERS and len(data) >= p + 24:
+            gap = int.from_bytes(data[p + 21 : p + 24], "big")
+            out["delay"], out["padding"] = gap >> 12, gap & 4095
         return out
     p = at + 36
     if f.layer == 3 and data[p : p + 4] == b"VBRI" and len(data) >= p + 18:
@@ -209,9 +266,11 @@ def _table(data: bytes, at: int, f: Frame) -> dict | None:
 def parse(data: bytes | None) -> dict:
     """Everything about a stream. Null or no frame: zero frames and a duration of 0.
 
-    A header counts if the next one, where it says, agrees in version, layer and rate, or the stream ends there; all other
+    A header counts if the next one, where it says, agrees in version, layer and rate, or the stream ends there; right behind a
+    frame that it agrees with, it also counts if what follows is damaged, unless a run of frames starts within it. All other
     bytes are skipped and counted in ``skipped``. "TAG" 128 bytes before the end is a tag unless it lies within a frame of a run
-    that ends with the stream. ``duration_num / duration_den`` is the duration in seconds, exact.
+    that ends with the stream. ``duration_num / duration_den`` is the duration in seconds, exact; the delay and padding that the
+    encoder names are no part of it, but of ``n_samples``.
     """
     data = data or b""
     at, end, tags = _tags(data)
@@ -226,10 +285,8 @@ def parse(data: bytes | None) -> dict:
             end = len(data)
         if f is None or at + f.size > end or f.size < 4 + 2 * f.crc + f.side:
             f = None
-        elif at + f.size < end and last is not f:
-            g = header(data[at + f.size : at + f.size + 4])
-            if g is None or (g.version, g.layer, g.rate) != (f.version, f.layer, f.rate):
-                f = None
+        elif at + f.size < end and last is not f and _agrees(data, at + f.size, f) is None and not (last and _agrees(data, at, last) and _stands(data, at, f, end)):
+            f = None
         if f is None:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
@@ -255,6 +312,9 @@ def parse(data: bytes | None) -> dict:
     if end < len(data):
         tags.setdefault("ID3V1_TITLE", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     num, den = 0, 1
+    silent = table.get("delay", 0) + table.get("padding", 0) if table else 0
+    if first and silent <= rates.get(first.rate, 0):
+        rates[first.rate] -= silent
     for rate, n in sorted(rates.items()):
         num, den = num * rate + n * den, den * rate
         d = gcd(num, den)
@@ -269,7 +329,7 @@ def parse(data: bytes | None) -> dict:
 
 PARSED = (
     "mpeg_version int, layer int, sample_rate int, channels int, n_frames long, n_samples long, duration_num long, duration_den long, "
-    "crc_ok long, crc_bad long, skipped_bytes long, table_kind string, table_frames long, table_bytes long, tags map<string,string>, "
+    "crc_ok long, crc_bad long, skipped_bytes long, table_kind string, table_frames long, table_bytes long, encoder_delay long, encoder_padding long, tags map<string,string>, "
     "seek_offsets array<long>, payload binary"
 )
 
@@ -305,7 +365,7 @@ def parse_column(df: DataFrame, media: str = "media") -> DataFrame:
     where = names.index(media)
     arrow = [
         pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-        pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.binary(),
+        pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.binary(),
     ]
 
     def run(batches):
@@ -315,7 +375,7 @@ def parse_column(df: DataFrame, media: str = "media") -> DataFrame:
                 [r[k] for r in rows]
                 for k in ("version", "layer", "sample_rate", "channels", "n_frames", "n_samples", "duration_num", "duration_den", "crc_ok", "crc_bad", "skipped")
             ]
-            cols += [[(r["table"] or {}).get(k) for r in rows] for k in ("kind", "frames", "bytes")]
+            cols += [[(r["table"] or {}).get(k) for r in rows] for k in ("kind", "frames", "bytes", "delay", "padding")]
             cols += [[list(r["tags"].items()) for r in rows], [r["offsets"] for r in rows], [r["ancillary"] for r in rows]]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, arrow, strict=True))], names=[*names, *(f.name for f in new)])
 

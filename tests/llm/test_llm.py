@@ -130,16 +130,59 @@ def test_a_text_that_looks_like_a_tag(spark):
     assert both["n_frames"] == 1 and both["tags"]["ID3V1_TITLE"] == "title"
 
 
+def test_frames_before_damage_and_encoder_gaps():
+    """A frame of another bitrate counts although junk follows it; delay and padding are no part of the duration."""
+    low, high = bytes((0xFF, 0xFB, 0x90, 0x00)).ljust(417, b"\0"), bytes((0xFF, 0xFB, 0xB0, 0x00)).ljust(626, b"\0")
+    out = mpeg_audio.parse(low + low + high + b"junk" * 5 + low + high)
+    assert out["n_frames"] == 5 and out["skipped"] == 20 and out["offsets"] == [0, 417, 834, 1480, 1897] and out["n_samples"] == 5 * 1152
+    torn = mpeg_audio.parse(low + low + high[:100] + low + low + high)  # the third is cut off: frames start within it
+    assert torn["n_frames"] == 5 and torn["skipped"] == 100
+    info = bytes((0xFF, 0xFB, 0x90, 0x00)) + bytes(32) + b"Info" + struct.pack(">III", 15, 3, 2000) + bytes(100) + bytes(4) + b"LAME3.100" + bytes(12) + ((576 << 12) | 1105).to_bytes(3, "big")
+    out = mpeg_audio.parse(info.ljust(417, b"\0") + low * 3)
+    assert (out["table"]["delay"], out["table"]["padding"], out["n_frames"], out["n_samples"]) == (576, 1105, 3, 3456)
+    assert out["duration_num"] * 44100 == (3456 - 576 - 1105) * out["duration_den"]
+
+
+def test_tag_flags():
+    frames = mpeg_audio.encode(b"x" * 384)
+    audio = frames[frames.index(b"\xff\xfb") :]
+
+    def field(name, text, size, flags=b"\0\0"):
+        return name + size(len(text)) + flags + text
+
+    plain = lambda n: struct.pack(">I", n)
+    safe = mpeg_audio._synchsafe
+    title = b"\1\xff\xfe" + "é\xff".encode("utf-16-le")
+    unsynced = title.replace(b"\xff", b"\xff\0")
+    cases = [
+        (3, 0x40, struct.pack(">IHI", 6, 0, 0) + field(b"TIT2", b"\0Name", plain), b"", "Name"),  # extended header
+        (3, 0x80, (struct.pack(">4sIH", b"TIT2", len(title), 0) + title).replace(b"\xff", b"\xff\0"), b"", "éÿ"),  # unsynchronised as a whole
+        (4, 0x50, safe(6) + b"\1\0" + field(b"TIT2", b"\3Name", safe), b"3DI\4\0\x50" + safe(0), "Name"),  # extended header and footer
+        (4, 0, field(b"TIT2", safe(len(title)) + unsynced, safe, b"\0\3"), b"", "éÿ"),  # unsynchronised by frame, with the length before
+        (2, 0, b"TT2" + (5).to_bytes(3, "big") + b"\0Name", b"", "Name"),
+    ]
+    for major, flags, body, foot, want in cases:
+        out = mpeg_audio.parse(b"ID3" + bytes((major, 0, flags)) + safe(len(body)) + body + foot + audio)
+        assert out["tags"].get("TIT2", out["tags"].get("TT2")) == want and out["n_frames"] == 2 and out["skipped"] == 0, (major, flags, out["tags"])
+
+
 def test_op1_digests(spark):
+    """Every row of the table, and its features, against the stream's fixed layout read off by hand."""
     import hashlib
 
-    got = registry.QUERIES["op1_mpeg_audio"](spark, SF).limit(50).collect()
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    got = registry.QUERIES["op1_mpeg_audio"](spark, SF).collect()
+    assert len(got) == len(texts)
     for r in got:
         raw = (texts[r["doc_id"]] or "").encode()
         p = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
-        assert r["media_sha256"] == hashlib.sha256(mpeg_audio.encode(p, len(raw))).hexdigest()
+        media = mpeg_audio.encode(p, len(raw))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        n, tag = len(p) // 192, 10 + media[8] * 128 + media[9]
+        assert len(media) == tag + 240 * (n + 1) and b"".join(media[tag + 240 * i + 48 : tag + 240 * (i + 1)] for i in range(1, n + 1)) == p
+        seek = zlib.crc32(struct.pack(f"<{n}q", *(tag + 240 * (i + 1) for i in range(n))))
+        assert r["feature"] == f"mpeg1;layer3;48000Hz;ch=1;Info={n};frames={n};samples={n * 1152};us={n * 24000};crc={n}/0;skipped=0;seek={seek:08x}"
 
 
 # 2: SentencePiece
