@@ -13,28 +13,39 @@ import re
 import uuid
 import zlib
 from contextlib import contextmanager
-from itertools import repeat
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import read_table, scratch, slices, text_of
-from .token_counts import VOCABULARY, vocabulary
+from .common import Bounded, cut, read_table, scratch, slices, text_of
+from .token_counts import PATTERN, VOCABULARY, byte_symbols, vocabulary
 
 END_ID = 0
-MEMO = 500_000  # of each generation
-#: Leads the key of a text's first word; no text of a table holds a lone surrogate.
-FIRST = "\ud800"
+WORDS, PIECES = 250_000, 30_000  # that a worker's memos hold, in each of two generations
+#: Texts are cut into parts of PART_BYTES, and into MOST_PARTS at most: then parts grow, and a part streams through its task.
+PART_BYTES, MOST_PARTS = 8 << 20, 16_384
+#: Characters below this one are in scripts whose letters, digits and spaces are fixed; the pattern cuts these texts here.
+EDGE = "\u0250"
+FIND = regex.compile(PATTERN).findall
+#: A comma or full stop between a letter or number and a space is a piece of its own, whatever is around it. ALONE says so in the
+#: word's key; LOOSE finds those that follow something else.
+ALONE = "\x01"
+MARK, LOOSE = re.compile(r"(?<=[^\W_])([,.])(?= )"), re.compile(rf"[\W_] {ALONE}")
 #: Where a text may be cut so that the parts' ids, joined, are those of the whole: between two non-space characters, before
 #: a single space, and on both sides of a single line feed. The byte-level pattern starts a piece at each of these.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 
 
+class OtherSpace(Exception):
+    """A text has white space other than single spaces and line feeds between words."""
+
+
 def _fs(folder: str):
     u = urlparse(folder)
     if u.scheme in ("", "file"):
@@ -65,12 +76,13 @@ def _mapped(folder: str, name: str):
 
 
 class Ids:
-    """Ids of texts as raw bytes, by the library.
+    """Ids of texts as raw bytes, by the library's model.
 
-    Texts are cut into words, which recur; their ids are kept in a memo of two generations, so that frequent words stay and
-    memory is bounded. Words that are in neither go to the library together, parted by line feeds, whose id parts them again.
-    A word's key says what stands before it: FIRST for nothing (the text's first word), a line feed for that, nothing for a
-    space. Texts with any other white space, or with two of these in a row, are cut at CUT, or encoded whole.
+    Texts are cut at single spaces into words, which recur; their ids are kept in a memo of two generations, so that frequent
+    words stay and memory is bounded. A word that is not in it is cut into the pattern's pieces, which the library's model
+    turns into ids; pieces are in the same memo. Words with characters beyond EDGE go through the whole library, so no class of
+    characters is judged here that Unicode still extends. A text with a special string, or other white space where the cut may
+    differ, is encoded whole by the library.
     """
 
     def __init__(self, path: str, width: str, end_id: int):
@@ -81,96 +93,82 @@ class Ids:
 
         self.t, self.width = Tokenizer.from_file(path), np.dtype(width)
         self.end = np.array([end_id], width).tobytes()
-        feed = self.t.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else None
         self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
-        self.new: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.tokenize = self.t.model.tokenize
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.raw = [i.to_bytes(self.width.itemsize, "little") for i in range(self.t.get_vocab_size())]
+        self.pieces = Bounded(self.piece, PIECES)
+        self.words = Bounded(self.word, WORDS)
 
-    def raw(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Put these keys into the memo; None for what is no plain word."""
-        old, new = self.old, self.new
-        plain: dict[str, list[str]] = {" ": [], "": []}
-        for w in words:
-            if w in old:
-                new[w] = old[w]
-                continue
-            first = w[:1]
-            body = w[1:] if first in (FIRST, "\n") else w
-            if body.split() != [body]:
-                new[w] = None
-            elif self.feed is None or any(x in w for x in self.special):
-                new[w] = self.raw(w if first == "\n" else body if first == FIRST else f" {body}")
-            else:
-                plain[" " if body is w else ""].append(w)
-        start = np.array([self.feed or 0], self.width).tobytes()
-        for before, keys in plain.items():
-            chunks = [keys[i : i + 2000] for i in range(0, len(keys), 2000)]
-            texts = ["\n".join(before + (k if before else k[1:]) for k in c) for c in chunks]
-            for c, e in zip(chunks, self.t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.width)
-                cuts = np.flatnonzero(ids == self.feed)
-                if len(cuts) != len(c) - 1:
-                    raise ValueError("line feeds don't part words in this vocabulary")
-                data, size = ids.tobytes(), self.width.itemsize
-                at = 0
-                for k, stop in zip(c, [*cuts.tolist(), len(ids)], strict=True):
-                    got = data[at * size : stop * size]
-                    new[k] = start + got if k[0] == "\n" else got
-                    at = stop + 1
-
-    def cut_up(self, text: str) -> bytes:
-        """A text with other white space: between CUTs, where parts without such white space come from the memo."""
-        return b"".join(np.array(e.ids, self.width).tobytes() for e in self.t.encode_batch_fast(CUT.split(text), add_special_tokens=False))
-
-    def values(self, words: list[str]) -> list[bytes | None]:
-        """The ids of these keys, which are distinct."""
-        got = list(map(self.new.get, words, repeat(self)))
-        at = [i for i, g in enumerate(got) if g is self]
-        if at:
-            if len(self.new) + len(at) > MEMO:
-                self.old, self.new = self.new, {}
-            self.learn([words[i] for i in at])
-            for i in at:
-                got[i] = self.new[words[i]]
-        return got
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text, with the end id. Only the distinct words of all texts are looked up one by one."""
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        coded = split.flatten().dictionary_encode()
-        ends = split.offsets.to_numpy()
-        ends = ends - ends[0]
-        index = coded.indices.to_numpy().astype(np.int64)
-        known = coded.dictionary.to_pylist()
-        first = [FIRST + known[i] for i in index[ends[:-1]].tolist()]
-        lead = {w: len(known) + i for i, w in enumerate(dict.fromkeys(first))}
-        index[ends[:-1]] = [lead[w] for w in first]
-        got = self.values([*known, *lead])
-        odd = np.array([g is None for g in got])
-        size = np.array([len(g) if g else 0 for g in got]) // self.width.itemsize
-        ids = np.frombuffer(b"".join([g or b"" for g in got]), self.width)
-        start, n = np.cumsum(size) - size, size[index]
-        to = np.cumsum(n)
-        flat = ids[np.repeat(start[index] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
-        stops = np.concatenate(([0], to))[ends].tolist()
-        strange = np.concatenate(([0], np.cumsum(odd[index])))[ends]
-        strange = (strange[1:] > strange[:-1]).tolist()
-        return [(self.cut_up(texts[i].as_py()) if strange[i] else flat[stops[i] : stops[i + 1]].tobytes()) + self.end for i in range(len(texts))]
+    def piece(self, piece: str) -> bytes:
+        raw = self.raw
+        mapped = piece.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return b"".join([raw[t.id] for t in self.tokenize(mapped)])
+
+    def word(self, word: str) -> bytes:
+        """The ids of a word and the space before it; a line feed, which leads a word, takes the space's place, and ALONE stands
+        for nothing."""
+        near = word.isascii() or max(word) < EDGE
+        if near and word.isalpha():
+            return self.piece(f" {word}")
+        if word[:1] == ALONE:
+            return self.piece(word[1:])
+        if word[:1] != "\n":
+            word = " " + word
+        body = word[1:]
+        if body.split() != [body]:
+            raise OtherSpace
+        return b"".join(map(self.pieces.__getitem__, FIND(word))) if near else self.whole(word)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, with the end id."""
+        if not text:
+            return self.end
+        if any(x in text for x in self.special):
+            return self.whole(text) + self.end
+        if ALONE in text:
+            return self.plain(text) + self.end
+        spaced = text.replace("\n", " \n")
+        marked = spaced.replace(", ", f" {ALONE}, ").replace(". ", f" {ALONE}. ")
+        if LOOSE.search(marked):
+            marked = MARK.sub(f" {ALONE}\\1", spaced)
+        words = marked.split(" ")
+        first = words[0]
+        try:
+            if first.split() != [first] or max(first) >= EDGE:
+                raise OtherSpace
+            del words[0]
+            return b"".join((*map(self.pieces.__getitem__, FIND(first)), *map(self.words.__getitem__, words), self.end))
+        except OtherSpace:
+            return self.plain(text) + self.end
+
+    def plain(self, text: str) -> bytes:
+        if max(text) >= EDGE:
+            return b"".join(np.array(e.ids, self.width).tobytes() for e in self.t.encode_batch_fast(CUT.split(text), add_special_tokens=False))
+        return b"".join(map(self.pieces.__getitem__, FIND(text)))
 
 
 _IDS: dict[tuple, Ids] = {}
 
 
-def write_token_files(df: DataFrame, folder: str, text: str = "text", name: str = VOCABULARY, end_id: int = END_ID, part_bytes: int = 8 << 20) -> DataFrame:
-    """Write the files of ``df`` (doc_id, text) and return one row per part: part, n_docs, n_tokens, base.
+def ids_of(name: str, width: str, end_id: int) -> Ids:
+    """One encoder per worker process, with its memos. Tasks must ask for it here: what a task's own code names is sent with it."""
+    key = (name, width, end_id)
+    if key not in _IDS:
+        _IDS[key] = Ids(vocabulary(name), width, end_id)
+    return _IDS[key]
+
+
+def write_token_files(df: DataFrame, folder: str, text: str = "text", name: str = VOCABULARY, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Write the files of ``df`` (doc_id, text) and return one row per part: part, n_docs, n_tokens, base, width, parts.
 
     Null texts are empty and give the end id alone. Documents lie in ascending doc_id order, null ids first; rows that repeat
-    a doc_id follow one another by their texts. An empty table gives no part. Other columns are left out of the files. What
-    reaches the driver is one row per part, of which there are as many as the input has ``part_bytes``.
+    a doc_id follow one another by their texts. An empty table gives no part. Other columns are left out of the files. Very
+    long texts are rows like any other: a task holds one slice of rows and the ids of these. Nothing reaches the driver but the
+    input's size; bases are prefix sums over the table of parts, MOST_PARTS rows at most.
     """
     spark = df.sparkSession
     from tokenizers import Tokenizer
@@ -178,22 +176,21 @@ def write_token_files(df: DataFrame, folder: str, text: str = "text", name: str
     t = Tokenizer.from_file(vocabulary(name))
     width = "<u2" if max(t.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     size = df.select(F.sum(F.octet_length(text)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    parts = max(1, -(-((size["b"] or 0) + 16 * size["n"]) // part_bytes))
+    parts = max(1, min(MOST_PARTS, -(-((size["b"] or 0) + 16 * size["n"]) // part_bytes)))
     rows = df.select(F.col("doc_id").cast("long"), text_of(text).alias("text")).repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
         from pyspark import TaskContext
 
-        key = (name, width, end_id)
-        ids = _IDS.get(key) or _IDS.setdefault(key, Ids(vocabulary(name), width, end_id))
+        ids = ids_of(name, width, end_id)
         part = TaskContext.get().partitionId()
         docs: list[np.ndarray] = []
         total = 0
 
         def coded():
             nonlocal total
-            for b in slices(batches, 2048):
-                got = ids.encode(b.column(1).fill_null(""))
+            for b in slices(batches):
+                got = list(map(ids.encode, b.column(1).to_pylist()))
                 n = np.array([len(x) for x in got], "<i8") // np.dtype(width).itemsize
                 i = b.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype("<i8")
                 docs.append(np.stack([i, n], 1))
@@ -205,16 +202,16 @@ def write_token_files(df: DataFrame, folder: str, text: str = "text", name: str
             _write(folder, f"docs-{part:05}.bin", (x.tobytes() for x in docs))
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([sum(map(len, docs))]), pa.array([total])], names=["part", "n_docs", "n_tokens"])
 
-    found = sorted((r["part"], r["n_docs"], r["n_tokens"]) for r in rows.mapInArrow(run, "part long, n_docs long, n_tokens long").collect())
-    bases = np.concatenate(([0], np.cumsum([n for _, _, n in found], dtype=np.int64)))[:-1].tolist() if found else []
-    table = spark.createDataFrame([(*p, b) for p, b in zip(found, bases, strict=True)], "part long, n_docs long, n_tokens long, base long")
-    return table.select("*", F.lit(width).alias("width"))
+    found = cut(rows.mapInArrow(run, "part long, n_docs long, n_tokens long"), "parts")
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    table = found.withColumns({"base": F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")), "width": F.lit(width), "parts": F.lit(parts)})
+    return cut(table, "bases")
 
 
 def _per_part(parts: DataFrame) -> DataFrame:
     """One task for a few parts."""
-    n = max(1, parts.count())
-    return parts.repartition(min(n, 4096), "part")
+    n = parts.select("parts").first()
+    return parts.repartition(min(n[0] if n else 1, 4096), "part")
 
 
 def write_offsets(parts: DataFrame, folder: str) -> None:
