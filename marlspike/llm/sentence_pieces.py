@@ -246,6 +246,15 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder_of(own: str, parts) -> Encoder:
+    """One encoder per worker process, with its memo, of the broadcast ``parts``; that of another run goes. Tasks must ask for it
+    here: what a task's own code names is sent with it, and would start empty each time."""
+    if own not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[own] = Encoder(*parts.value)
+    return _ENCODERS[own]
+
+
 def load(path: str) -> tuple[Model, DoubleArray]:
     with open(path, "rb") as f:
         model = Model(f.read())
@@ -265,10 +274,7 @@ def encode_pieces(df: DataFrame, text: str = "text", path: str | None = None) ->
     parts, own = df.sparkSession.sparkContext.broadcast(load(path or vocabulary(MODEL))), uuid.uuid4().hex
 
     def run(batches):
-        e = _ENCODERS.get(own)
-        if e is None:
-            _ENCODERS.clear()
-            e = _ENCODERS[own] = Encoder(*parts.value)
+        e = encoder_of(own, parts)
         squeeze = e.model.squeeze
         for b in slices(batches):
             ids, n_bytes, scores, same = [], [], [], []
