@@ -425,9 +425,71 @@ def test_lines_repeated_rows(spark):
     assert line_runs.line_dedup(docs_of(spark, [])).count() == 0
 
 
-def test_shortest_runs():
-    got = line_runs._shortest([(0, 30), (1, 30), (2, 5), (4, 60), (6, 10)], 50)
-    assert got == {(0, 2), (4, 1), (0, 3)} or got == {(0, 2), (4, 1)} or {(0, 2), (4, 1)} <= got
+def longest_before(seqs):
+    """(document, line) -> the lines of the longest run from there that starts at an earlier place, too."""
+    places = [(d, i) for d, x in enumerate(seqs) for i in range(len(x))]
+    out = {}
+    for d, i in places:
+        best = 0
+        for e, j in places:
+            if (e, j) < (d, i):
+                n = 0
+                while i + n < len(seqs[d]) and j + n < len(seqs[e]) and seqs[d][i + n] == seqs[e][j + n]:
+                    n += 1
+                best = max(best, n)
+        out[d, i] = best
+    return out
+
+
+def sequences(r, kinds=5):
+    seqs = [[r.randrange(kinds) for _ in range(r.randint(1, 12))] for _ in range(14)]
+    return [*seqs, seqs[2], seqs[2] + seqs[3], [1] * 20, [0, 1] * 9, [1] * 20]
+
+
+def numbered(spark, seqs):
+    rows = [(d, 0, i, x) for d, s in enumerate(seqs) for i, x in enumerate(s)]
+    count = [sum(x == k for *_, x in rows) for k in range(10)]
+    rows = [(d, th, i, 1, sum(count[:x])) for d, th, i, x in rows]
+    return line_runs._numbered(spark.createDataFrame(rows, "did long, th long, seq int, words int, rank long").repartition(3), 1)
+
+
+def test_suffix_array_and_longest_runs(spark, monkeypatch):
+    """The order, the common prefixes of neighbours and the longest earlier runs, in chunks of any size, against all pairs."""
+    r = random.Random(41)
+    for chunk in (1 << 18, 7, 1):
+        monkeypatch.setattr(line_runs, "CHUNK", chunk)
+        seqs = sequences(r)
+        places = numbered(spark, seqs)
+        at = {x["p"]: (x["did"], x["seq"]) for x in places.collect()}
+        assert sorted(at.values()) == [at[p] for p in sorted(at)] and len(at) == sum(map(len, seqs))
+        array = line_runs.suffix_array(line_runs.cut(places), 1)
+        rows = array.orderBy("i").collect()
+        suffix = [seqs[at[x["p"]][0]][at[x["p"]][1] :] for x in rows]
+        assert suffix == sorted(suffix) and [x["i"] for x in rows] == list(range(len(rows)))
+        for one, two, x in zip(suffix, suffix[1:], rows[1:], strict=False):
+            n = 0
+            while n < min(len(one), len(two)) and one[n] == two[n]:
+                n += 1
+            assert x["lcp"] == n
+        got = {at[x["p"]]: x["n"] for x in line_runs.longest_earlier(line_runs.cut(array)).collect()}
+        assert got == {k: n for k, n in longest_before(seqs).items() if n}
+
+
+def test_maximal_runs(spark):
+    r = random.Random(42)
+    seqs = sequences(r)
+    texts = ["\n".join(f"line {x} of three {'more ' * x}" for x in s) for s in seqs]
+    got = {x["did"]: [(y["seq"], y["n"]) for y in x["runs"]] for x in line_runs.repeated_runs(docs_of(spark, texts), min_words=12).collect()}
+    longest = longest_before(seqs)
+    want = {}
+    for d, s in enumerate(seqs):
+        end = -1
+        for i in range(len(s)):
+            n = longest[d, i]
+            if n and i + n > end and sum(4 + x for x in s[i : i + n]) >= 12:
+                want.setdefault(d, []).append((i, n))
+                end = i + n
+    assert got == want
 
 
 # 7: near-duplicates
@@ -675,3 +737,63 @@ def test_op10_all_pages(spark):
         inner = re.search("<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
         want = [re.sub(r"\s+", " ", h.unescape(re.sub("<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1|ul|li)\b[^>]*>", inner)]
         assert r["text"] == "\n".join(x for x in want if x)
+
+
+def test_induction_decides_without_hints(spark):
+    """The table's pages with their articles as plain elements and without class names: nothing but the wrapper tells the text
+    from the advertisement beside it."""
+    import html as h
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "(</?)article", "$1div"), '<div class="ad">', "<div>"))
+    want = {}
+    for r in pages.collect():
+        inner = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        parts = [re.sub(r"\s+", " ", h.unescape(re.sub("<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1|ul|li)\b[^>]*>", inner)]
+        want[r["page_id"]] = "\n".join(x for x in parts if x)
+    got = {r["page_id"]: r["text"] for r in W.extract(bare).collect()}
+    off = {r["page_id"]: r["text"] for r in W.extract(bare, induce=False).collect()}
+    assert all(off[k] != t for k, t in want.items())
+    assert sum(got[k] == t for k, t in want.items()) >= 0.9 * len(want)
+
+
+def test_small_hosts_have_wrappers(spark):
+    r = random.Random(27)
+    rows, want = [], {}
+    for i in range(6):
+        text = [prose(r, 14) for _ in range(4)]
+        rows.append(page(i, f"<body><div><p>Top {i}</p></div><div><section><h1>{prose(r, 3)}</h1></section><section>{''.join(f'<p>{x}</p>' for x in text)}</section></div><div>{prose(r, 4)}</div></body>", f"s{i // 2}.example"))
+        want[i] = "\n".join(text)
+    got = extracted(spark, rows)
+    assert all(got[i].endswith(want[i]) and "Top" not in got[i] for i in want)
+
+
+def test_long_pages_stay_cheap():
+    import time
+
+    r = random.Random(28)
+
+    def bones(n, inner=""):
+        return W.skeleton(W.blocks(W.parse("<div>" + "".join(f"<p>{r.random()}</p>{inner}" for _ in range(n)) + "</div>")))
+
+    began = time.time()
+    a, b = bones(10_000), bones(9_000)
+    assert len(W.align(a, b)) == len(b)
+    c, d = bones(400, "<ul><li><p>x</p><p>y</p></ul>"), bones(500, "<ul><li><p>x</p></ul>")
+    assert len(W.align(c, d)) == 2 + 400 * 4
+    W.blocks(W.parse("<select>" * 20_000 + "text"))
+    assert time.time() - began < 30
+    e, f = (W.skeleton(W.blocks(W.parse("".join(f"<p>{k}</p>" for k in ks)))) for ks in (range(1000), [*range(0, 1000, 2), *range(5000, 5600)]))
+    to = W.align(e, f)
+    assert sum(e[x][2] == f[y][2] for x, y in to.items()) >= 500 and sorted(to.values()) == [to[x] for x in sorted(to)]
+
+
+def test_merged_reference():
+    def bones(html):
+        return W.skeleton(W.blocks(W.parse(html)))
+
+    stub, full = bones("<div><h1>x</h1></div><p>end</p>"), bones("<div><h1>y</h1><ul><li><p>1</p><li><p>2</p></ul></div><section><p>a</p></section><p>end</p>")
+    tree = W.merged([stub, full])
+    assert len(tree) == len(full) and [n[0] for n in tree] == [n[0] for n in full] and [n[1] for n in tree] == [n[1] for n in full]
+    assert len(W.merged([full, stub, full])) == len(full)
