@@ -72,10 +72,14 @@ class Bounded(dict):
 
     def __missing__(self, key):
         if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+            self.turn()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
         return value
+
+    def turn(self) -> None:
+        """Make the new generation the old one."""
+        self.old = dict(self)
+        self.clear()

@@ -3,7 +3,8 @@
 A model file is read without the library: pieces, scores, types and normaliser flags. The trie over the pieces' UTF-8
 bytes is built once on the driver and broadcast; its size is that of the vocabulary, not of the data. Where no piece holds
 a whitespace marker after another character, the best path of a text is the joined best paths of its marker-led segments,
-so each worker keeps a bounded memo of segments and the result stays exact.
+so each worker keeps a bounded memo of segments and the result stays exact. Segments that aren't in it are searched together: one
+step of the search is one array operation over all of them.
 
 Scores: a Unigram model's own log-probabilities; a BPE model holds merge ranks instead, which are turned into
 log-probabilities by Zipf's law (``-log(rank + 1) - log(H)``), as no tokenizer is trained here.
@@ -32,7 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: How much below the lowest score a character without a piece lies (fixed value of the format's Unigram encoder).
 UNKNOWN_PENALTY = 10.0
 MEMO = 450_000  # of each generation
-LONG = 64  # segments of more bytes aren't kept in the memo
+LONG = 64  # segments of more characters aren't kept in the memo, and are searched one by one
+TOGETHER = 4096  # segments that are searched together
 
 
 def _fields(buf: bytes):
@@ -155,12 +157,20 @@ class Encoder:
         body = rf"[^{MARK}{alone}]+"
         self.segments = re.compile(rf"{MARK}*{body}|{MARK}+" + (f"|{alone}" if alone else "")).findall if split else lambda s: [s]
         self.memo = Bounded(self.packed, MEMO)
+        self.np_steps, self.np_check, self.np_value = (np.array(x, np.int32) for x in (self.steps_of(trie), trie.check, trie.value))
+        self.np_gain = np.array([model.scores[v] if v >= 0 else -math.inf for v in trie.value])
         self.byte_of = {i: b for b, i in model.bytes.items()}
         self.is_byte = np.isin(np.arange(len(model.pieces)), list(self.byte_of))
-        self.steps = [b + 1 for b in trie.base]
+        # What each piece adds to a path's score: a character without a piece counts once, with its first byte.
+        self.scores = np.array([(0.0 if 0x80 <= self.byte_of[i] < 0xC0 else self.unk_score) if i in self.byte_of else self.unk_score if i == model.unk else x for i, x in enumerate(model.scores)])
+        self.steps = self.steps_of(trie)
         self.gain = [model.scores[v] if v >= 0 else None for v in trie.value]
         self.shown = ["" if k == CONTROL else " ⁇ " if k == UNKNOWN else p for p, k in zip(model.pieces, model.types, strict=True)]
 
+    @staticmethod
+    def steps_of(trie: DoubleArray) -> list[int]:
+        return [b + 1 for b in trie.base]
+
     def normal(self, text: str) -> str:
         if self.model.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -208,19 +218,95 @@ class Encoder:
             p = q
         return tuple(reversed(ids)), top[n]
 
-    def packed(self, segment: str) -> tuple[bytes, float]:
-        ids, score = self.best(segment)
-        return array("i", ids).tobytes(), score
+    def packed(self, segment: str) -> bytes:
+        return array("i", self.best(segment)[0]).tobytes()
+
+    def _together(self, segments: list[str]) -> list[bytes]:
+        """``packed`` of many segments: the same comparisons in the same order, over all of them at once."""
+        raw = [x.encode("utf-8", "surrogatepass") for x in segments]
+        n = np.array([len(x) for x in raw])
+        rows, longest = len(raw), int(n.max())
+        data = np.zeros((rows, longest), np.uint8)
+        data[np.arange(longest) < n[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+        width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+        begins = ((data & 0xC0) != 0x80) & (np.arange(longest) < n[:, None])
+        top = np.full((rows, longest + 5), -math.inf)
+        start, piece = np.zeros((rows, longest + 5), np.int32), np.full((rows, longest + 5), -1, np.int32)
+        top[:, 0] = 0.0
+        for at in range(longest):
+            mine = np.flatnonzero(begins[:, at])
+            if not len(mine):
+                continue
+            end = at + width[mine, at]
+            single = np.zeros(rows, bool)
+            r, state, here, stop, p = mine, np.zeros(len(mine), np.int32), top[mine, at], end, at
+            while len(r):
+                t = self.np_steps[state] + data[r, p]
+                on = self.np_check[t] == state
+                r, state, here, stop, p = r[on], t[on], here[on], stop[on], p + 1
+                score = here + self.np_gain[state]
+                found = score > -math.inf
+                single[r[found & (stop == p)]] = True
+                better = np.flatnonzero(score > top[r, p])
+                k = r[better]
+                top[k, p], start[k, p], piece[k, p] = score[better], at, self.np_value[state[better]]
+                more = n[r] > p
+                if not more.all():
+                    r, state, here, stop = r[more], state[more], here[more], stop[more]
+            lone = ~single[mine]
+            if lone.any():
+                k, to, score = mine[lone], end[lone], top[mine[lone], at] + self.unk_score
+                better = score > top[k, to]
+                k, to = k[better], to[better]
+                top[k, to], start[k, to], piece[k, to] = score[better], at, -1
+        ids, count, place, plain = np.zeros((rows, longest + 1), np.int32), np.zeros(rows, np.int64), n.copy(), np.ones(rows, bool)
+        live = np.arange(rows)
+        while len(live):
+            v = piece[live, place[live]]
+            plain[live[v < 0]] = False  # a character without a piece: such segments are searched one by one
+            count[live] += 1
+            ids[live, longest + 1 - count[live]] = v
+            place[live] = start[live, place[live]]
+            live = live[place[live] > 0]
+        return [ids[i, longest + 1 - c :].tobytes() if ok else self.packed(segments[i]) for i, (c, ok) in enumerate(zip(count.tolist(), plain.tolist(), strict=True))]
+
+    def learn(self, segments: set[str]) -> None:
+        """Put these segments into the memo: from its old generation, or searched together. Longer ones than LONG are left out."""
+        memo = self.memo
+        if len(memo) + len(segments) > memo.most:
+            memo.turn()
+        old, new = memo.old, []
+        for x in segments:
+            if x in old:
+                memo[x] = old[x]
+            elif len(x) <= LONG:
+                new.append(x)
+        new.sort(key=len)
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            memo.update(zip(part, self._together(part), strict=True))
+
+    def encode_many(self, texts: list[str | None]) -> list[tuple[np.ndarray, float]]:
+        """Piece numbers and score of each text; none and 0 for null and the empty text."""
+        cut_up = [self.segments(self.normal(t or "")) for t in texts]
+        memo = self.memo
+        self.learn({x for segments in cut_up for x in segments if x not in memo})
+        out = []
+        for segments in cut_up:
+            try:
+                got = b"".join(map(memo.get, segments))
+            except TypeError:  # segments that the memo doesn't take, or that it has forgotten since
+                got = b"".join([memo.get(x) or self.packed(x) for x in segments])
+            ids = np.frombuffer(got, np.int32)
+            out.append((ids, float(self.scores[ids].sum())))
+        return out
 
     def encode_array(self, text: str | None) -> tuple[np.ndarray, float]:
-        """Piece numbers and score of a text; none and 0 for null and the empty text."""
-        memo = self.memo
-        got = [memo[s] if len(s) <= LONG else self.packed(s) for s in self.segments(self.normal(text or ""))]
-        return np.frombuffer(b"".join([g[0] for g in got]), np.int32), sum([g[1] for g in got])
+        return self.encode_many([text])[0]
 
     def encode(self, text: str | None) -> tuple[list[int], float]:
         ids, score = self.encode_array(text)
-        return ids.tolist(), float(score)
+        return ids.tolist(), score
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of these pieces: bytes joined (U+FFFD where they are no UTF-8), markers to spaces, first marker dropped."""
@@ -278,9 +364,8 @@ def encode_pieces(df: DataFrame, text: str = "text", path: str | None = None) ->
         squeeze = e.model.squeeze
         for b in slices(batches):
             ids, n_bytes, scores, same = [], [], [], []
-            for s in b.column(where):
-                t = s.as_py() or ""
-                got, score = e.encode_array(t)
+            texts = [t or "" for t in b.column(where).to_pylist()]
+            for t, (got, score) in zip(texts, e.encode_many(texts), strict=True):
                 ids.append(got)
                 n_bytes.append(int(e.is_byte[got].sum()))
                 scores.append(round(float(score), 4))
