@@ -51,7 +51,7 @@ def clean(s: Column) -> Column:
 def terms(s: Column) -> Column:
     """Search terms: inner dots, plus and hyphens survive, and so does a plus at the end; no stemming."""
     raw = F.split(F.lower(s), TERM_SPLIT)
-    bare = F.transform(raw, lambda t: F.regexp_replace(F.regexp_replace(t, r"^[.+-]+", ""), r"[.-]+$", ""))
+    bare = F.transform(raw, lambda t: F.rtrim(F.ltrim(t, F.lit(".+-")), F.lit(".-")))
     return F.filter(bare, lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 

@@ -19,10 +19,28 @@ def pages_out_of_order(marks: DataFrame) -> DataFrame:
     return marks.withColumn("prev_page", prev).where("page <= prev_page").select("doc_id", "at", "page", "prev_page")
 
 
-def page_gaps(marks: DataFrame) -> DataFrame:
-    """(doc_id, page): pages from a document's first mark's to its last one's that have no mark."""
-    ends = marks.groupBy("doc_id").agg(F.min_by("page", "at").alias("lo"), F.max_by("page", "at").alias("hi")).where("hi >= lo")
-    return ends.select("doc_id", F.explode(F.sequence("lo", "hi")).alias("page")).join(marks.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
+def page_ranges(marks: DataFrame) -> DataFrame:
+    """(doc_id, lo, hi): the runs of pages without a mark between a document's first mark's page and its last one's. One row a
+    run, however far apart two marks are."""
+    by = Window.partitionBy("doc_id")
+    ends = marks.select("doc_id", "page", F.min_by("page", "at").over(by).alias("lo"), F.max_by("page", "at").over(by).alias("hi"))
+    inside = ends.where(F.col("page").between(F.col("lo"), F.col("hi"))).select("doc_id", "page").distinct()
+    after = F.lead("page").over(by.orderBy("page"))
+    return inside.select("doc_id", (F.col("page") + 1).alias("lo"), (after - 1).alias("hi")).where("hi >= lo")
+
+
+def page_gaps(marks: DataFrame, most: int = 100_000) -> DataFrame:
+    """(doc_id, page): pages of ``page_ranges`` one by one; a run of more than ``most`` pages is an error, not a list."""
+    runs = page_ranges(marks)
+    wide = F.raise_error(F.concat(F.lit("no marks between pages "), F.col("lo").cast("string"), F.lit(" and "), F.col("hi").cast("string"))).cast("array<int>")
+    return runs.select("doc_id", F.explode(F.when(F.col("hi") - F.col("lo") < most, F.sequence("lo", "hi")).otherwise(wide)).alias("page"))
+
+
+def parse_statistics(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, n_marks, n_inferred, min_page, max_page, n_chars) of every document (doc_id, md); no pages without marks."""
+    sizes = docs.select("doc_id", T.units(F.col("md")).cast("long").alias("n_chars"))
+    found = sizes.join(mark_summary(marks), "doc_id", "left")
+    return found.select("doc_id", F.coalesce("n_marks", F.lit(0)).alias("n_marks"), F.coalesce("n_inferred", F.lit(0)).alias("n_inferred"), "min_page", "max_page", "n_chars")
 
 
 def mark_summary(marks: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions import text as T
+from marlspike.operators.unions import stacked
 
 # Fixed values of the scoring rules.
 COVERAGE, COVERAGE_ON_PAGE = 0.8, 0.5
@@ -29,6 +31,39 @@ def span_hits(retrieved: DataFrame, chunks: DataFrame, gold: DataFrame) -> DataF
     return df.select("qid", "id", "rank", "share", hit.alias("hit"))
 
 
+def unranked(chunks: DataFrame, gold: DataFrame, block: int = 4096) -> DataFrame:
+    """(qid, rank): 1 if any chunk contains the normalised span, else null. An arm that hands over everything has no positions.
+
+    Spans go out in blocks; each task reads its chunks once, with an automaton of a block's spans, and hands on what it met.
+    """
+    spans = gold.select("qid", T.normalize(F.col("span")).alias("span"))
+    texts = chunks.select(T.normalize(F.col("content")).alias("text"))
+    blocks = max(1, -(-spans.count() // block))
+    met = []
+    for i in range(blocks):
+        mine = spans if blocks == 1 else spans.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        held = [(r["qid"], r["span"]) for r in mine.where("span <> ''").collect()]
+
+        def run(batches, held=held):
+            import ahocorasick
+
+            who: dict[str, list] = {}
+            for qid, span in held:
+                who.setdefault(span, []).append(qid)
+            find = ahocorasick.Automaton()
+            for span in who:
+                find.add_word(span, span)
+            find.make_automaton()
+            found: set[str] = set()
+            for b in batches:
+                for text in b.column(0).to_pylist() if who else ():
+                    found.update(span for _, span in find.iter(text or ""))
+            yield pa.RecordBatch.from_arrays([pa.array([q for s in found for q in who[s]], pa.int64())], names=["qid"])
+
+        met.append(texts.mapInArrow(run, "qid long"))
+    return gold.select(F.col("qid").cast("long").alias("qid")).join(stacked(*met).distinct().withColumn("rank", F.lit(1)), "qid", "left")
+
+
 def scorable(gold: DataFrame) -> DataFrame:
     return gold.where(~F.coalesce("unanswerable", F.lit(False)) & (F.coalesce("span", F.lit("")) != ""))
 

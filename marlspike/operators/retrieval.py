@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from marlspike.functions import text as T
 from marlspike.operators.unions import stacked
+from marlspike.sources.scratch import cut
 
 # Fixed values of the ranking formulas.
 K1, B, IDF_FLOOR = 1.5, 0.75, 1e-6
@@ -21,6 +22,10 @@ RRF_K = 60
 PER_ARM = 40
 EXPANDED = 14
 WEAK = 0.02
+#: Postings of a query's strongest terms, as a multiple of k, that give the first bound of its k best scores.
+SEEDS = 16
+#: By how much a bound may be off: scores are rounded to 6 digits.
+MARGIN = 2e-6
 #: Query vectors that are held at once by the dense arm.
 BLOCK = 4096
 #: Vectors that are multiplied by a block at once.
@@ -32,43 +37,90 @@ def top(df: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("qid",), r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(id, len, term, tf) of chunks (id, content). With ``wanted`` (term), only these terms: filtered before they are counted."""
-    flat = chunks.select("id", T.terms(F.col("content")).alias("ts")).select("id", F.size("ts").alias("len"), F.explode("ts").alias("term"))
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, len, term, tf) of documents (id, terms). With ``wanted`` (term), only these terms: filtered before they are counted."""
+    flat = docs.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
     if wanted is not None:
         flat = flat.join(wanted.select("term").distinct(), "term", "left_semi")
     return flat.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: n, avg_len."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.terms(F.col("content")))).alias("avg_len"))
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """(id, terms) of chunks (id, content)."""
+    return chunks.select("id", T.terms(F.col("content")).alias("terms"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, score) of all chunks with a term of the query; chunks (id, content), queries (qid, question)."""
-    asked = queries.select("qid", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
-    post = postings(chunks, asked)
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(chunks))  # one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(IDF_FLOOR))
-    norm = 1 - B + B * F.col("len") / F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1)
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
-    weighed = post.join(df, "term").crossJoin(stats).select("id", "term", part.alias("part"))
-    return weighed.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+class Lexical:
+    """The terms of a corpus, read once and written to the shared folder; queries are weighed against them."""
 
+    def __init__(self, chunks: DataFrame):
+        self.docs = cut(tokenized(chunks).withColumn("len", F.size("terms")), "terms")
 
-def bm25_top(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top(bm25(chunks, queries), k, F.desc("score"), F.col("id"))
+    def stats(self) -> DataFrame:
+        """One row: n, avg_len."""
+        return self.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
 
+    def parts(self, asked: DataFrame) -> DataFrame:
+        """(term, id, part): what each of these terms adds to the score of each chunk that has it."""
+        post = postings(self.docs, asked)
+        df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(IDF_FLOOR))
+        norm = 1 - B + B * F.col("len") / F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1)
+        part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
+        return post.join(df, "term").crossJoin(F.broadcast(self.stats())).select("term", "id", part.alias("part"))  # the statistics are one row
 
-def bm25_of_types(chunks: DataFrame, queries: DataFrame, types: list[str], k: int = PER_ARM) -> DataFrame:
-    """Twice k are ranked over all types, then those of other types go, then k stay: fewer may remain."""
-    wide = bm25_top(chunks, queries, 2 * k)
+
+def indexed(chunks: DataFrame | Lexical) -> Lexical:
+    return chunks if isinstance(chunks, Lexical) else Lexical(chunks)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term): each distinct term of queries (qid, question)."""
+    return queries.select("qid", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
+
+
+def bm25(chunks: DataFrame | Lexical, queries: DataFrame) -> DataFrame:
+    """(qid, id, score) of all chunks with a term of the query; chunks (id, content), queries (qid, question)."""
+    asked = asked_terms(queries)
+    return indexed(chunks).parts(asked).join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def bm25_top(chunks: DataFrame | Lexical, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the k best of ``bm25``, exactly, without scoring every chunk that shares a term.
+
+    A query's strongest terms, by the most that one adds to any score, give a bound: the k-th best score by these alone. Terms
+    that together can't reach it, the weakest, find no chunk; they only complete the scores of chunks that the others found
+    and that can still reach it. So the postings of frequent terms are not met by every query that has them.
+    """
+    asked = cut(asked_terms(queries), "asked")
+    post = cut(indexed(chunks).parts(asked), "postings")
+    most = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    terms = cut(asked.join(most, "term"), "terms")
+    strong = Window.partitionBy("qid").orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = terms.withColumn("_n", F.coalesce(F.sum("df").over(strong), F.lit(0))).where(F.col("_n") < SEEDS * k).select("qid", "term")
+    first = top(post.join(seeds, "term").groupBy("qid", "id").agg(F.sum("part").alias("score")), k, F.desc("score"), F.col("id"))
+    bound = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("bound"))
+    weak = Window.partitionBy("qid").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    terms = cut(terms.join(bound, "qid").withColumn("finds", F.sum("most").over(weak) + MARGIN >= F.col("bound")), "bounded")
+    found = post.join(terms.where("finds").select("qid", "term"), "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
+    left = terms.groupBy("qid", "bound").agg(F.coalesce(F.sum(F.when(~F.col("finds"), F.col("most"))), F.lit(0.0)).alias("left"))
+    found = cut(found.join(left, "qid").where(F.col("score") + F.col("left") + MARGIN >= F.col("bound")).select("qid", "id", "score"), "found")
+    more = found.select("qid", "id").join(terms.where("NOT finds").select("qid", "term"), "qid").join(post, ["id", "term"]).select("qid", "id", F.col("part").alias("score"))
+    scores = found.unionByName(more).groupBy("qid", "id").agg(F.round(F.sum("score"), 6).alias("score"))
+    return top(scores, k, F.desc("score"), F.col("id"))
+
+
+def of_types(wide: DataFrame, chunks: DataFrame, types: list[str], k: int = PER_ARM) -> DataFrame:
+    """Of a ranking over all types, the first k of these types: fewer may remain."""
     kept = wide.join(chunks.select("id", "doc_type"), "id").where(F.col("doc_type").isin(*types))
     return top(kept.drop("rank"), k, F.desc("score"), F.col("id"))
 
 
+def bm25_of_types(chunks: DataFrame, queries: DataFrame, types: list[str], k: int = PER_ARM) -> DataFrame:
+    """Twice k are ranked over all types, then those of other types go, then k stay."""
+    return of_types(bm25_top(chunks, queries, 2 * k), chunks, types, k)
+
+
 def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, score) of the keyword baseline: idf of each query word, as often as the query has it, if the chunk has it."""
     asked = queries.select("qid", F.explode(T.keywords(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -120,19 +172,20 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int = PER_ARM, block: int = BLOCK) -> DataFrame:
     """(qid, id, score, rank): exact cosine of each query (qid, vector) against all vectors (id, vector).
 
-    Queries go out in blocks of ``block`` vectors, whatever their number. A task multiplies its vectors by a block and hands on
-    its k best per query, so what is shuffled is k rows per query and task.
+    Queries go out in blocks of about ``block`` vectors, whatever their number: one block is on the driver at a time, and its best
+    are written before the next one. A task multiplies its vectors by a block and hands on its k best per query, so what is
+    shuffled is k rows per query and task.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-queries.count() // block))
     parts = []
     for i in range(blocks):
         mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
         rows = mine.select("qid", "vector").toPandas()
         ids = rows["qid"].to_numpy(np.int64)
         q = np.stack(rows["vector"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
-        parts.append(_dense_block(vectors, ids, q, k))
-    return top(stacked(*parts), k, F.desc("score"), F.col("id"))
+        best = top(_dense_block(vectors, ids, q, k), k, F.desc("score"), F.col("id"))
+        parts.append(best if blocks == 1 else cut(best, "block"))
+    return stacked(*parts)
 
 
 def _dense_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
@@ -188,23 +241,22 @@ def rule_floor(fused: DataFrame, options: DataFrame) -> DataFrame:
     """The first k per query, with ``floor`` non-cards at least: the best below the cut take the places of the last cards.
 
     fused (qid, id, doc_type, rank, ...), options (qid, k, floor). A chunk without a type counts as a rule. Promoted rows come
-    last; ``rank`` is the new order.
+    last; ``rank`` is the new order. Below the cut only the first ``floor`` rules matter, so the others go first; one window
+    counts what is there, one numbers the cards above the cut.
     """
     df = fused.join(options.select("qid", "k", "floor"), "qid").withColumn("rule", F.coalesce("doc_type", F.lit("")) != "cards")
+    df = df.withColumn("_in", F.col("rank") <= F.col("k")).where(F.col("_in") | F.col("rule"))
+    place = Window.partitionBy("qid", "_in", "rule").orderBy("rank")
+    df = df.withColumn("_nth", F.row_number().over(place)).where(F.col("_in") | (F.col("_nth") <= F.least("floor", "k")))
     q = Window.partitionBy("qid")
-    inside = F.col("rank") <= F.col("k")
-    df = df.withColumn("_in", inside).withColumn("_have", F.count_if(F.col("_in") & F.col("rule")).over(q))
-    df = df.withColumn("_below", F.count_if(~F.col("_in") & F.col("rule")).over(q))
-    df = df.withColumn("_n", F.when(F.col("floor") <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.least("floor", "k") - F.col("_have"), F.col("_below")))))
-    up = Window.partitionBy("qid", "_in", "rule").orderBy("rank")
-    down = Window.partitionBy("qid", "_in", "rule").orderBy(F.desc("rank"))
-    df = df.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down))
-    promoted = ~F.col("_in") & F.col("rule") & (F.col("_up") <= F.col("_n"))
-    stays = F.col("_in") & (F.col("rule") | (F.col("_down") > F.col("_n")))
-    df = df.where(promoted | stays).withColumn("promoted", ~F.col("_in"))
+    have, below, cards = (F.count_if(c).over(q) for c in (F.col("_in") & F.col("rule"), ~F.col("_in"), F.col("_in") & ~F.col("rule")))
+    df = df.withColumns({"_have": have, "_below": below, "_cards": cards})
+    need = F.when(F.col("floor") <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.least("floor", "k") - F.col("_have"), F.col("_below"))))
+    keep = F.when(F.col("_in"), F.col("rule") | (F.col("_nth") <= F.col("_cards") - need)).otherwise(F.col("_nth") <= need)
+    df = df.where(keep).withColumn("promoted", ~F.col("_in"))
     order = Window.partitionBy("qid").orderBy("promoted", "rank")
-    keep = [c for c in fused.columns if c != "rank"]
-    return df.withColumn("_rank", F.row_number().over(order)).select(*keep, "promoted", F.col("_rank").alias("rank"))
+    names = [c for c in fused.columns if c != "rank"]
+    return df.withColumn("_rank", F.row_number().over(order)).select(*names, "promoted", F.col("_rank").alias("rank"))
 
 
 def section_complete(selected: DataFrame, chunks: DataFrame, options: DataFrame) -> DataFrame:
@@ -243,6 +295,8 @@ def trace(ranked: DataFrame, digits: int, most: int = 12) -> DataFrame:
 
 
 def rank_moves(dense: DataFrame, final: DataFrame, most: int = 12) -> DataFrame:
-    """(qid, id, rank, dense_rank, move): how far a row rose from its place in the traced dense list; null if it wasn't there."""
+    """(qid, id, rank, dense_rank, move): how far a row rose from its place in the traced dense list; null if it wasn't there.
+    ``sibling``, whether a row came with its section only, stays if ``final`` has it."""
     seen = dense.where(F.col("rank") <= most).select("qid", "id", F.col("rank").alias("dense_rank"))
-    return final.select("qid", "id", "rank").join(seen, ["qid", "id"], "left").withColumn("move", F.col("dense_rank") - F.col("rank"))
+    kept = ["sibling"] if "sibling" in final.columns else []
+    return final.select("qid", "id", "rank", *kept).join(seen, ["qid", "id"], "left").withColumn("move", F.col("dense_rank") - F.col("rank"))

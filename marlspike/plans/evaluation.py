@@ -11,6 +11,7 @@ from marlspike.operators import packing as P
 from marlspike.operators import retrieval as R
 from marlspike.operators.unions import stacked
 from marlspike.plans import tables as t
+from marlspike.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -28,27 +29,41 @@ def query(sql: str | None = None):
     return add
 
 
+def chosen(names: str) -> tuple[str, ...]:
+    """The arms of a comma-separated list, in the order of ARMS; all for an empty one."""
+    wanted = [x.strip() for x in names.split(",") if x.strip()]
+    if unknown := set(wanted) - set(ARMS):
+        raise ValueError(f"no such arms: {', '.join(sorted(unknown))}")
+    return tuple(a for a in ARMS if a in wanted) if wanted else ARMS
+
+
 def _gold(spark, sf_dir):
     """Benchmark items: the question and the span are the text, the page is a tenth of the number."""
     return t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("text").alias("span"), (F.floor(F.col("item_id") / 10) + 1).cast("int").alias("page"), (F.col("item_id") % 17 == 0).alias("unanswerable"))
 
 
-def _arms(spark, sf_dir):
+def _arms(spark, sf_dir, arms=ARMS):
+    """The ranked lists of the chosen arms; both lexical ones come from one ranking of 2 K."""
     c, q = t.chunks(spark, sf_dir), E.scorable(_gold(spark, sf_dir))
-    lists = (R.top(R.keyword_scores(c, q), K, F.desc("score"), F.col("id")), R.bm25_top(c, q, K), R.bm25_of_types(c, q, ["rulebook"], K))
-    return stacked(*(df.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.lit(a).alias("arm")) for a, df in zip(ARMS, lists, strict=True)))
+    wide = cut(R.bm25_top(c, q, 2 * K), "wide") if {"bm25", "bm25_rules"} & set(arms) else None
+    make = {
+        "keyword": lambda: R.top(R.keyword_scores(c, q), K, F.desc("score"), F.col("id")),
+        "bm25": lambda: wide.where(F.col("rank") <= K),
+        "bm25_rules": lambda: R.of_types(wide, c, ["rulebook"], K),
+    }
+    return stacked(*(make[a]().select("qid", "id", F.col("rank").cast("long").alias("rank"), F.lit(a).alias("arm")) for a in arms))
 
 
-def _hits(spark, sf_dir):
-    lists = _arms(spark, sf_dir)
+def _hits(spark, sf_dir, arms=ARMS):
+    lists = cut(_arms(spark, sf_dir, arms), "lists")
     once = lists.select("qid", "id").distinct().withColumn("rank", F.lit(0))  # texts are compared once per pair, whatever the arms
     hit = E.span_hits(once, t.chunks(spark, sf_dir), _gold(spark, sf_dir)).select("qid", "id", "share", "hit")
     return lists.join(hit, ["qid", "id"])
 
 
-def _scores(spark, sf_dir):
-    gold = E.scorable(_gold(spark, sf_dir)).select("qid").crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in ARMS], "arm string")))
-    return E.first_hits(_hits(spark, sf_dir), gold, ["arm"])
+def _scores(spark, sf_dir, arms=ARMS):
+    gold = E.scorable(_gold(spark, sf_dir)).select("qid").crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in arms], "arm string")))
+    return E.first_hits(_hits(spark, sf_dir, arms), gold, ["arm"])
 
 
 HITS = f"""WITH RECURSIVE {t.CHUNKS}, gold AS (SELECT item_id AS qid, text AS question, text AS span, (item_id // 10 + 1)::INT AS page FROM benchmark WHERE item_id % 17 <> 0 AND text <> ''),
@@ -80,6 +95,21 @@ def recall_mrr_by_arm(spark, sf_dir):
     return E.recall_mrr(_scores(spark, sf_dir), ["arm"], K)
 
 
+@query(HITS + f", a AS (SELECT arm, count(*) AS n, count(*) FILTER (rank <= {K}) AS hits, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM sc WHERE arm IN ('keyword', 'bm25_rules') GROUP BY arm) SELECT arm, n, hits, round(hits / n, 6) AS recall, mrr, {WILSON.format(s='hits', n='n')} FROM a")
+def recall_mrr_chosen(spark, sf_dir):
+    """Two arms, named in another order than the listed one: they run in that."""
+    return E.recall_mrr(_scores(spark, sf_dir, chosen("bm25_rules,keyword")), ["arm"], K)
+
+
+@query(f"""WITH {t.CHUNKS}, gold AS (SELECT item_id AS qid, {t.normalize_sql('text')} AS span FROM benchmark WHERE item_id % 17 <> 0 AND text <> ''), c AS MATERIALIZED (SELECT {t.normalize_sql('content')} AS text FROM chunks),
+sc AS (SELECT qid, CASE WHEN EXISTS (SELECT 1 FROM c WHERE contains(c.text, span)) THEN 1 END AS rank FROM gold), a AS (SELECT count(*) AS n, count(rank) AS hits, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM sc)
+SELECT 'everything' AS arm, n, hits, round(hits / n, 6) AS recall, mrr, {WILSON.format(s='hits', n='n')} FROM a""")
+def recall_mrr_unranked(spark, sf_dir):
+    """The arm that hands over the whole corpus: what it contains counts as rank 1."""
+    gold = E.scorable(_gold(spark, sf_dir))
+    return E.recall_mrr(E.unranked(t.chunks(spark, sf_dir), gold).withColumn("arm", F.lit("everything")), ["arm"], K)
+
+
 MCNEMAR = """CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c)::BIGINT + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) END"""
 
 

@@ -171,9 +171,11 @@ def page_gaps(spark, sf_dir):
     return C.page_gaps(G.page_marks(_lines(spark, sf_dir)))
 
 
-@query(f"WITH {t.MARKS} SELECT doc_id, count(*) AS n_marks, count(*) FILTER (inferred) AS n_inferred, min(page) AS min_page, max(page) AS max_page FROM marks GROUP BY doc_id")
+@query(f"""WITH {t.MARKS}, x AS (SELECT doc_id, count(*) AS n_marks, count(*) FILTER (inferred) AS n_inferred, min(page) AS min_page, max(page) AS max_page FROM marks GROUP BY doc_id)
+SELECT doc_id, coalesce(n_marks, 0) AS n_marks, coalesce(n_inferred, 0) AS n_inferred, min_page, max_page, length(md) AS n_chars FROM md LEFT JOIN x USING (doc_id)""")
 def parse_statistics(spark, sf_dir):
-    return C.mark_summary(G.page_marks(_lines(spark, sf_dir)))
+    md = t.markdown(spark, sf_dir)
+    return C.parse_statistics(md, G.page_marks(G.lines(md)))
 
 
 @query(f"WITH {t.LINES}, {t.heads_sql(STRICT)}, p AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY n) AS prev_level FROM heads) SELECT doc_id, n::INT AS n, prev_level, level, title FROM p WHERE level - prev_level > 1")

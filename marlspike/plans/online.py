@@ -103,9 +103,20 @@ def rolling_tokens_60s(spark, sf_dir):
     return L.rolling_sum(e, "event_type", "us", "tokens").select("event_id", "rolling")
 
 
-@query()
+THROTTLE = """WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, epoch_us(ts) AS us, (event_id % 500)::BIGINT AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+w AS (
+  SELECT user_id, i, seq, us, us AS start_us, [{'t': us, 'n': tokens}] AS held FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, i, seq, us, now_, list_append(list_filter(held, lambda x: now_ - x.t <= 60000000), {'t': now_, 'n': tokens}) FROM (
+    SELECT *, list_filter(list_sort(list_prepend(base, list_filter(list_transform(held, lambda x: x.t + 60000001), lambda c: c > base))),
+                          lambda c: coalesce(list_sum(list_transform(list_filter(held, lambda x: c - x.t <= 60000000), lambda x: x.n)), -1000000000) + tokens <= 900)[1] AS now_
+    FROM (SELECT e.user_id, e.i, e.seq, e.us, e.tokens, w.held, greatest(e.us, w.start_us + 1000000) AS base FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1) b) s)
+SELECT user_id, seq, start_us, start_us - us AS wait_us FROM w"""
+
+
+@query(THROTTLE)
 def throttle_waits(spark, sf_dir):
-    """A simulated clock per user; tested against a restatement in Python."""
+    """A simulated clock per user: a request waits for the tokens of the minute before it, and for a gap."""
     e = _events(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), "us", (F.col("event_id") % 500).alias("tokens"))
     return L.throttle_waits(e, "user_id", 900, 1_000_000)
 
@@ -148,6 +159,17 @@ def first_token_latency(spark, sf_dir):
     return V.latencies(_frames(spark, sf_dir))
 
 
+@query("""WITH f AS (SELECT conv_id AS mid, turn AS seq, ['text', 'stage', 'stage', 'citation'][(turn % 4)::INT + 1] AS event, role AS value, turn * 137 + conv_id % 11 AS at_ms FROM conversations),
+g AS (SELECT *, min(at_ms) OVER (PARTITION BY mid) AS start FROM f), s AS (SELECT mid, value, at_ms - coalesce(lag(at_ms) OVER (PARTITION BY mid ORDER BY at_ms, seq), start) AS ms FROM g WHERE event = 'stage' AND value IS NOT NULL),
+n AS (SELECT mid, value, sum(ms)::BIGINT AS ms FROM s GROUP BY ALL)
+SELECT mid, string_agg(value || '=' || ms, ',' ORDER BY value) AS timings, sum(ms)::BIGINT AS total_ms FROM n GROUP BY mid""")
+def stage_timings(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("text", "stage", "stage", "citation"))), (F.col("turn") % 4 + 1).cast("int"))
+    f = t.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("mid"), F.col("turn").alias("seq"), kind.alias("event"), F.col("role").alias("value"), (F.col("turn") * 137 + F.col("conv_id") % 11).alias("at_ms"))
+    shown = F.array_join(F.transform(F.map_entries("timings"), lambda x: F.concat(x.key, F.lit("="), x.value.cast("string"))), ",")
+    return V.stage_timings(f).select("mid", shown.alias("timings"), "total_ms")
+
+
 @query("SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS question, max(turn) FILTER (role = 'user') AS turn, count(*) - 1 AS n_history FROM conversations GROUP BY conv_id")
 def latest_user_turn(spark, sf_dir):
     return V.latest_user_turn(t.read(spark, sf_dir, "conversations"))

@@ -11,6 +11,7 @@ from marlspike.operators import assembly as A
 from marlspike.operators import retrieval as R
 from marlspike.plans import tables as t
 from marlspike.sources import files
+from marlspike.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -70,12 +71,12 @@ def text_labels(spark, sf_dir):
 @query(f"""WITH {t.CHUNKS}, x AS (SELECT id, {t.terms_sql('content')} AS ts FROM chunks), u AS (SELECT id, unnest(ts) AS term FROM x),
 p AS (SELECT id, term, count(*) AS tf FROM u GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM p GROUP BY term""")
 def postings_terms(spark, sf_dir):
-    return R.postings(t.chunks(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return R.postings(R.tokenized(t.chunks(spark, sf_dir))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 @query(f"WITH {t.CHUNKS}, x AS (SELECT {t.terms_sql('content')} AS ts FROM chunks) SELECT count(*) AS n, round(avg(len(ts)), 6) AS avg_len FROM x")
 def bm25_index_stats(spark, sf_dir):
-    return R.corpus_stats(t.chunks(spark, sf_dir)).select("n", F.round("avg_len", 6).alias("avg_len"))
+    return R.Lexical(t.chunks(spark, sf_dir)).stats().select("n", F.round("avg_len", 6).alias("avg_len"))
 
 
 @query(f"WITH {t.CHUNKS} SELECT doc_type, count(*) AS n, (count(*) * 64 * 4)::BIGINT AS bytes FROM chunks GROUP BY doc_type")
@@ -162,8 +163,8 @@ def _sparse(spark, sf_dir):
     return R.bm25_top(t.chunks(spark, sf_dir), t.hybrid(spark, sf_dir).select("qid", "question"), R.PER_ARM)
 
 
-def _fused(spark, sf_dir):
-    return R.fuse([("dense", _dense(spark, sf_dir)), ("sparse", _sparse(spark, sf_dir))])
+def _fused(spark, sf_dir, dense=None):
+    return R.fuse([("dense", dense if dense is not None else _dense(spark, sf_dir)), ("sparse", _sparse(spark, sf_dir))])
 
 
 @query(t.FUSED + " SELECT qid, id, score, dense_rank, sparse_rank, rank FROM fused")
@@ -216,7 +217,8 @@ def rulebook_floor(spark, sf_dir):
 
 
 def _selected(spark, sf_dir):
-    return R.section_complete(_floored(spark, sf_dir), t.chunks(spark, sf_dir), _options(spark, sf_dir))
+    """Written once: the expansion reads the ranking three times, and what follows reads it again."""
+    return cut(R.section_complete(cut(_floored(spark, sf_dir), "floored"), t.chunks(spark, sf_dir), _options(spark, sf_dir)), "selected")
 
 
 @query(t.COMPLETE + " SELECT qid, id, round(score, 6) AS score, rank::BIGINT AS rank, sibling FROM hits")
@@ -256,16 +258,25 @@ def search_attach_gate(spark, sf_dir):
 
 @query(t.FUSED + ", x AS (SELECT qid, id, score, rank, 'fused' AS list FROM fused WHERE rank <= 12 UNION ALL SELECT qid, id, score, rank, 'dense' FROM dense WHERE rank <= 12) SELECT qid, list, string_agg(id || ':' || rank || ':' || CASE list WHEN 'fused' THEN format('{:.5f}', round(score, 5)) ELSE format('{:.4f}', round(score, 4)) END, ' ' ORDER BY rank) AS entries FROM x GROUP BY qid, list")
 def trace_rows(spark, sf_dir):
-    d = R.trace(_dense(spark, sf_dir), 4).withColumn("list", F.lit("dense"))
-    return R.trace(_fused(spark, sf_dir), 5).withColumn("list", F.lit("fused")).unionByName(d)
+    dense = cut(_dense(spark, sf_dir), "dense")
+    d = R.trace(dense, 4).withColumn("list", F.lit("dense"))
+    return R.trace(_fused(spark, sf_dir, dense), 5).withColumn("list", F.lit("fused")).unionByName(d)
 
 
 @query(t.FUSED + " SELECT f.qid, f.id, f.rank, d.rank AS dense_rank, d.rank - f.rank AS move FROM fused f LEFT JOIN dense d ON d.qid = f.qid AND d.id = f.id AND d.rank <= 12 WHERE f.rank <= 10")
 def trace_moves(spark, sf_dir):
-    out = R.rank_moves(_dense(spark, sf_dir), _fused(spark, sf_dir).where("rank <= 10"))
+    dense = cut(_dense(spark, sf_dir), "dense")
+    out = R.rank_moves(dense, _fused(spark, sf_dir, dense).where("rank <= 10"))
     return out.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.col("dense_rank").cast("long").alias("dense_rank"), F.col("move").cast("long").alias("move"))
 
 
+@query(t.COMPLETE + " SELECT h.qid, h.id, h.rank::BIGINT AS rank, sibling, d.rank AS dense_rank, d.rank - h.rank AS move FROM hits h LEFT JOIN dense d ON d.qid = h.qid AND d.id = h.id AND d.rank <= 12")
+def trace_siblings(spark, sf_dir):
+    """The moves of what an answer is given, with what came as a section's sibling marked."""
+    out = R.rank_moves(_dense(spark, sf_dir), _selected(spark, sf_dir))
+    return out.select("qid", "id", F.col("rank").cast("long").alias("rank"), "sibling", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("move").cast("long").alias("move"))
+
+
 def _placed(spark, sf_dir):
     hits = _selected(spark, sf_dir).select("qid", "id", "rank").join(t.chunks(spark, sf_dir), "id")
     return A.spans(hits)
@@ -292,7 +303,7 @@ resolved AS (SELECT cid, qid, type = 'web_search_result_location' OR doc_title I
 
 @query(t.SPANS + CITED + " SELECT * FROM resolved")
 def resolve_citations(spark, sf_dir):
-    placed = _placed(spark, sf_dir)
+    placed = cut(_placed(spark, sf_dir), "placed")
     c = F.col("c")
     cites = t.hybrid(spark, sf_dir).select("qid").withColumn("c", F.explode(F.array(*map(F.lit, range(6))))).select(
         (F.col("qid") * 10 + c).alias("cid"), "qid", F.when(c == 4, "web_search_result_location").when(c == 5, "page_location").otherwise("char_location").alias("type"),

@@ -29,11 +29,16 @@ def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def read_matrix(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """(row, vector) of raw little-endian float32 files, rows one after another; a file of another length is an error.
+def read_matrix(spark: SparkSession, path: str, dims: int, count: int | None = None) -> DataFrame:
+    """(row, vector) of raw little-endian float32 files, rows one after another; a file of another length is an error, and so are
+    files that together don't hold ``count`` rows, if that is given.
 
     Each file is one task's work. Store large matrices as Parquet (``write_vectors``).
     """
+    if count is not None:
+        held = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        if held != count * dims * 4:
+            raise ValueError(f"{path} holds {held} bytes, but {count} vectors of {dims} float32 values need {count * dims * 4}")
 
     def run(batches):
         for b in batches:
@@ -55,6 +60,16 @@ def checked_vectors(df: DataFrame, dims: int, column: str = "vector") -> DataFra
     return df.withColumn(column, F.when(F.size(column) == dims, F.col(column)).otherwise(F.raise_error(wrong).cast("array<float>")))
 
 
+def checked_response(sent: DataFrame, returned: DataFrame, dims: int) -> DataFrame:
+    """(batch, index, vector) of a client's answers, failing where a batch has not as many vectors as inputs were sent, or one
+    that isn't ``dims`` wide. sent: batch, index; returned: batch, index, vector, in any order."""
+    both = sent.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).join(returned.groupBy("batch").agg(F.count(F.lit(1)).alias("got")), "batch", "full")
+    n, got = F.coalesce("n", F.lit(0)).cast("string"), F.coalesce("got", F.lit(0)).cast("string")
+    wrong = F.raise_error(F.concat(got, F.lit(" vectors for "), n, F.lit(" inputs of batch "), F.col("batch").cast("string"))).cast("boolean")
+    fits = both.select("batch", F.when(F.col("n").eqNullSafe(F.col("got")), F.lit(True)).otherwise(wrong).alias("fits"))
+    return checked_vectors(returned.join(fits, "batch", "right").where("fits").drop("fits"), dims).select("batch", "index", "vector")
+
+
 def write_vectors(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
     """(id, vector) of all chunks as Parquet; an error if a chunk has none."""
     missing = F.raise_error(F.concat(F.lit("no vector for "), F.col("id").cast("string"))).cast("array<float>")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 
 def encode_frame(event: Column, data: Column) -> Column:
@@ -61,6 +62,8 @@ class _Folder(StatefulProcessor):
         done = False
         for pdf in rows:
             for r in pdf.sort_values("seq").itertuples():
+                if r.event in ("text", "thinking", "stage", "web_error") and r.value is None:
+                    continue  # as in the batch form, a frame without a value adds nothing
                 if r.event in ("text", "thinking"):
                     m[r.event] += r.value
                 elif r.event in ("stage", "web_error"):
@@ -93,6 +96,17 @@ def latencies(frames: DataFrame) -> DataFrame:
     return frames.groupBy("mid").agg((first - F.min("at_ms")).alias("first_token_ms"), (F.max("at_ms") - F.min("at_ms")).alias("total_ms"))
 
 
+def stage_timings(frames: DataFrame) -> DataFrame:
+    """(mid, timings, total_ms) of frames (mid, seq, event, value, at_ms): each stage's time from the stage before it, or the first
+    frame, as a map by its name (a name that comes again adds up); the total is the sum of these."""
+    order = Window.partitionBy("mid").orderBy("at_ms", "seq")
+    start = F.min("at_ms").over(Window.partitionBy("mid"))
+    stages = frames.withColumn("_start", start).where((F.col("event") == "stage") & F.col("value").isNotNull())
+    took = stages.withColumn("ms", F.col("at_ms") - F.coalesce(F.lag("at_ms").over(order), F.col("_start")))
+    named = took.groupBy("mid", "value").agg(F.sum("ms").alias("ms"))
+    return named.groupBy("mid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "ms")))).alias("timings"), F.sum("ms").alias("total_ms"))
+
+
 def latest_user_turn(chats: DataFrame) -> DataFrame:
     """(conv_id, question, turn, n_history): the last message of the user; the history is all but the last message."""
     user = F.col("role") == "user"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,16 +37,18 @@ def throttle_waits(events: DataFrame, key: str, tokens_per_minute: int, gap_us:
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple[int, int]] = []
-        out, last = [], None
+        held: deque[tuple[int, int]] = deque()
+        out, last, total = [], None, 0
         for r in group.sort_values(["us", "seq"]).itertuples():
             now = int(r.us) if last is None else max(int(r.us), last + gap_us)
             while held:
-                held = [(t, n) for t, n in held if now - t <= MINUTE_US]
-                if not held or sum(n for _, n in held) + r.tokens <= tokens_per_minute:
+                while held and now - held[0][0] > MINUTE_US:  # starts are in order
+                    total -= held.popleft()[1]
+                if not held or total + r.tokens <= tokens_per_minute:
                     break
                 now = held[0][0] + MINUTE_US + 1
             held.append((now, int(r.tokens)))
+            total += int(r.tokens)
             last = now
             out.append((getattr(r, key), int(r.seq), now, now - int(r.us)))
         return pd.DataFrame(out, columns=[key, "seq", "start_us", "wait_us"])
@@ -53,13 +57,13 @@ def throttle_waits(events: DataFrame, key: str, tokens_per_minute: int, gap_us:
 
 
 class _Limiter(StatefulProcessor):
-    """Keeps each key's times within the window."""
+    """Keeps each key's times within the window; a key that is idle for as long is forgotten."""
 
     def __init__(self, most: int, window_us: int):
         self.most, self.window_us = most, window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", StructType([StructField("us", LongType())]))
+        self.times = handle.getListState("times", StructType([StructField("us", LongType())]), ttlDurationMs=max(1, self.window_us // 1000))
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802  the base class's name
         times = [t[0] for t in self.times.get()] if self.times.exists() else []
@@ -77,5 +81,9 @@ class _Limiter(StatefulProcessor):
 
 
 def rate_limited_stream(events: DataFrame, most: int = MOST, window_us: int = HOUR_US) -> DataFrame:
-    """The limiter on a stream (user_id, event_id, us) whose events arrive in the order of their times."""
-    return events.groupBy("user_id").transformWithStateInPandas(_Limiter(most, window_us), "user_id long, event_id long, us long, n long, limited boolean", "Append", "None")
+    """The limiter on a stream (user_id, event_id, us) whose events arrive in the order of their times.
+
+    What it holds is bounded by the keys and requests of one window: state of idle keys expires with the window, in the place of
+    forgetting all keys at once beyond some number of them.
+    """
+    return events.groupBy("user_id").transformWithStateInPandas(_Limiter(most, window_us), "user_id long, event_id long, us long, n long, limited boolean", "Append", "ProcessingTime")

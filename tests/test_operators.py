@@ -2,6 +2,7 @@ import math
 import random
 from bisect import bisect_right
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,10 +270,117 @@ def test_sources(spark, tmp_path):
 
 def test_pushed_down_and_limited(spark):
     """Scans read what is asked for, and a top-k is limited before the shuffle."""
-    from marlspike.plans import registry
+    from marlspike.plans import registry, tables
 
     plan = registry.QUERIES["bm25_top8"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan and "lang" not in plan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert "WindowGroupLimit" in plan
+    read = R.tokenized(tables.chunks(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().toString().split("ReadSchema: struct<")[1].split(">")[0]
+    assert read == "doc_id:bigint,text:string"
+
+
+def test_pruned_ranking_is_exact(spark):
+    """The k best of bm25_top are those of all scores, where frequent terms find no chunk of their own, too."""
+    import random
+
+    r = random.Random(5)
+    rare = [f"rare{i}" for i in range(300)]
+    texts = [" ".join(r.choice(["common", "frequent", "usual", r.choice(rare)]) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    chunks = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, content string")
+    asked = spark.createDataFrame([(q, " ".join(["common", "usual", "frequent", *r.sample(rare, r.randint(0, 4))][r.randint(0, 2) :])) for q in range(25)] + [(90, "nothing"), (91, "")], "qid long, question string")
+    index = R.Lexical(chunks)
+    every = R.bm25(index, asked)
+    for k in (1, 3, 10):
+        want = rows(R.top(every, k, F.desc("score"), F.col("id")).select("qid", "rank", "id", "score"))
+        assert rows(R.bm25_top(index, asked, k).select("qid", "rank", "id", "score")) == want
+
+
+def test_files_are_written_and_read(spark, tmp_path):
+    chunks = spark.createDataFrame([(1,), (2,)], "id long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5])], "id long, vector array<float>")
+    files.write_vectors(chunks, vectors, str(tmp_path / "v"))
+    assert rows(spark.read.parquet(str(tmp_path / "v")).select("id")) == [(1,), (2,)]
+    with pytest.raises(Exception, match="no vector for 2"):
+        files.write_vectors(chunks, vectors.where("id = 1"), str(tmp_path / "w"))
+    for part in ([(1, "a")], [(2, "b")]):
+        files.append_json_lines(spark.createDataFrame(part, "id long, x string"), str(tmp_path / "lines"))
+    assert rows(files.read_json_lines(spark, str(tmp_path / "lines"), "id long, x string"), "id") == [(1, "a"), (2, "b")]
+    (tmp_path / "md").mkdir()
+    (tmp_path / "md/a.md").write_text("# A\n\ntext\n")
+    (tmp_path / "md/b.md").write_text("# B")
+    got = files.read_markdown(spark, str(tmp_path / "md")).collect()
+    assert {r["doc_id"].rsplit("/", 1)[-1]: r["md"] for r in got} == {"a.md": "# A\n\ntext\n", "b.md": "# B"}
+    (tmp_path / "m.bin").write_bytes(np.arange(6, dtype="<f4").tobytes())
+    assert files.read_matrix(spark, str(tmp_path / "m.bin"), 2, 3).count() == 3
+    with pytest.raises(ValueError, match="4 vectors"):
+        files.read_matrix(spark, str(tmp_path / "m.bin"), 2, 4)
+
+
+def test_responses_batches_and_retries(spark, tmp_path):
+    sent = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "batch int, index int")
+    back = spark.createDataFrame([(2, 0, [1.0]), (1, 1, [2.0]), (1, 0, [3.0])], "batch int, index int, vector array<float>")
+    assert rows(files.checked_response(sent, back, 1).select("batch", "index"), "batch", "index") == [(1, 0), (1, 1), (2, 0)]
+    for short in (back.where("index = 0"), back.where("batch = 1")):
+        with pytest.raises(Exception, match="vectors for"):
+            files.checked_response(sent, short, 1).collect()
+    calls = []
+
+    def work(df):
+        calls.append(df.first()["batch"])
+        if len(calls) == 2:
+            raise RuntimeError("limit")
+        return df.select("index")
+
+    with pytest.raises(RuntimeError, match="limit"):
+        P.run_batches(sent, work, str(tmp_path / "cp"))
+    assert P.run_batches(sent, work, str(tmp_path / "cp")) == 1 and calls == [1, 2, 2]
+    assert spark.read.parquet(str(tmp_path / "cp")).count() == 3
+    waits, answers = [], [(429, None, None), (503, 5.0, None), (200, None, "done")]
+    assert P.with_retries(lambda: answers.pop(0), "query", waits.append) == "done" and waits == [21.0, 5.0]
+    waits.clear()
+    with pytest.raises(RuntimeError, match="after 8 attempts"):
+        P.with_retries(lambda: (429, None, None), "ingest", waits.append)
+    assert waits == [20.0, 40.0, 60.0, 80.0, 90.0, 90.0, 90.0, 90.0]
+    with pytest.raises(RuntimeError, match="status 401"):
+        P.with_retries(lambda: (401, None, None), "rerank", waits.append)
+
+
+def test_far_marks(spark):
+    marks = spark.createDataFrame([(1, 0, 1), (1, 5, 2_000_000_000), (1, 3, 4), (2, 0, 3), (2, 1, 3), (3, 0, 5), (3, 1, 2)], "doc_id long, at long, page int")
+    assert rows(C.page_ranges(marks)) == [(1, 2, 3), (1, 5, 1_999_999_999)]
+    with pytest.raises(Exception, match="no marks between pages 5"):
+        C.page_gaps(marks).collect()
+    assert rows(C.page_gaps(marks.where("page < 100"))) == [(1, 2), (1, 3)]
+
+
+def test_jobs(spark, tmp_path, capsys):
+    from marlspike import jobs
+    from marlspike.plans import evaluation as PE
+
+    assert PE.chosen(" bm25_rules, keyword") == ("keyword", "bm25_rules") and PE.chosen("") == PE.ARMS
+    with pytest.raises(ValueError, match="no such arms: x"):
+        PE.chosen("x")
+    tables = "/root/testdata/sf0.001"
+    args = lambda *a: jobs.parser().parse_args(a)
+    everything = jobs.run(spark, args("answers", "--tables", tables))
+    assert 0 < jobs.run(spark, args("answers", "--tables", tables, "--limit", "5", "--strata", "forbidden")).count() <= 5 < everything.count()
+    first = everything.orderBy("doc_id").first()["doc_id"]
+    (tmp_path / "done.jsonl").write_text(f'{{"doc_id": {first}}}\nbroken\n')
+    assert jobs.run(spark, args("answers", "--tables", tables, "--done", str(tmp_path / "done.jsonl"))).count() == everything.count() - 1
+    assert jobs.run(spark, args("answers", "--tables", tables, "--done", str(tmp_path / "done.jsonl"), "--fresh")).count() == everything.count()
+    got = jobs.run(spark, args("retrieval", "--tables", tables, "--arms", "keyword", "--k", "3")).collect()
+    assert [r["arm"] for r in got] == ["keyword"]
+    (tmp_path / "a.md").write_text(MD)
+    assert {r["severity"]: r["n"] for r in jobs.run(spark, args("verify", "--in", str(tmp_path / "a.md"))).collect()} == {"warn": 2}
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from marlspike.sources.scratch import scratch
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch(away, "x")
 
 
 def test_labels_of_another_document(spark):
