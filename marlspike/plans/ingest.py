@@ -97,16 +97,47 @@ def has_children(spark, sf_dir):
     return G.with_children(G.raw_chunks(t.markdown(spark, sf_dir))).select("doc_id", "n", "sub", "has_children")
 
 
-@query()
+def _kept(of: str, stop: str, body: str, merged: str) -> str:
+    fields = [f"'{c}': {of}{c}" for c in ("n", "sub", "path", "start", "atomic")]
+    return "{" + ", ".join([*fields, f"'stop': {stop}", f"'body': {body}", f"'merged': {merged}"]) + "}"
+
+
+#: One row at a time by document: the list of chunks so far, in which the last one of a path may grow.
+MERGED = RAW.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ky AS (SELECT *, {BR} AS key, row_number() OVER (PARTITION BY doc_id ORDER BY n, sub) AS i, ceil(length(body) / 4) AS tok FROM raw),
+hc AS MATERIALIZED (SELECT a.*, NOT atomic AND tok < 120 AND NOT EXISTS (SELECT 1 FROM ky b WHERE b.doc_id = a.doc_id AND starts_with(b.key, a.key || ' > ')) AS small FROM ky a),
+mg AS (SELECT doc_id, i, [{_kept('', 'stop', 'body', '0')}] AS kept FROM hc WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN small AND j IS NOT NULL AND NOT kept[j].atomic AND ceil(length(kept[j].body) / 4) + tok <= 600
+      THEN list_concat(kept[1:j - 1], [{_kept('kept[j].', 'greatest(kept[j].stop, stop)', "kept[j].body || chr(10) || chr(10) || '### ' || title || chr(10) || chr(10) || body", 'kept[j].merged + 1')}], kept[j + 1:])
+      ELSE list_append(kept, {_kept('', 'stop', 'body', '0')}) END
+  FROM (SELECT h.*, mg.kept, list_max(list_filter(range(1, len(mg.kept) + 1), lambda x: array_to_string(mg.kept[x].path, ' > ') = h.parent)) AS j FROM mg JOIN hc h ON h.doc_id = mg.doc_id AND h.i = mg.i + 1) u),
+fin AS (SELECT doc_id, row_number() OVER () AS cid, c.* FROM (SELECT doc_id, unnest(arg_max(kept, i)) AS c FROM mg GROUP BY doc_id))"""
+
+
+@query(MERGED + f" SELECT doc_id, n::INT AS n, sub::INT AS sub, {BR} AS breadcrumb, start::BIGINT AS start, stop::BIGINT AS stop, md5(body) AS body_md5, merged::INT AS n_merged FROM fin")
 def upward_merge(spark, sf_dir):
-    """Order-dependent; tested against a restatement in Python."""
     m = G.merge_upward(G.raw_chunks(t.markdown(spark, sf_dir)))
     return m.select("doc_id", "n", "sub", T.breadcrumb(F.col("path")).alias("breadcrumb"), "start", "stop", F.md5("body").alias("body_md5"), F.coalesce(F.size("merged"), F.lit(0)).alias("n_merged"))
 
 
-@query()
+@query(MERGED + f""",
+big AS (SELECT cid, string_split_regex(body, '\\n\\s*\\n') AS ps FROM fin WHERE NOT atomic AND ceil(length(body) / 4) > 600),
+w AS (SELECT cid, 0 AS i, 1 AS part, ''::VARCHAR AS cur FROM big UNION ALL
+  SELECT cid, i + 1, CASE WHEN full_ THEN part + 1 ELSE part END, CASE WHEN full_ THEN p ELSE longer END
+  FROM (SELECT *, cur <> '' AND ceil(length(longer) / 4) > 600 AS full_ FROM (SELECT w.cid, w.i, w.part, w.cur, b.ps[w.i + 1] AS p, CASE WHEN w.cur = '' THEN b.ps[w.i + 1] ELSE w.cur || chr(10) || chr(10) || b.ps[w.i + 1] END AS longer FROM w JOIN big b USING (cid) WHERE w.i < len(b.ps)) x) y),
+good AS (SELECT * FROM (SELECT cid, part, arg_max(cur, i) AS body FROM w WHERE i > 0 GROUP BY ALL) WHERE NOT regexp_full_match(body, '\\s*')),
+tot AS (SELECT cid, count(*) AS k FROM good GROUP BY cid),
+sp AS (SELECT cid, CASE WHEN k > 1 THEN part END::INT AS part, CASE WHEN k > 1 THEN k END::INT AS parts_total, body FROM good JOIN tot USING (cid) UNION ALL SELECT cid, NULL, NULL, body FROM fin WHERE atomic OR ceil(length(body) / 4) <= 600),
+{t.MARKS[t.MARKS.rindex("marks AS ("):]},
+mk AS (SELECT doc_id, at_, page FROM marks),
+f AS (SELECT doc_id, arg_min(page, at_) AS page FROM mk GROUP BY doc_id),
+pg AS (SELECT fin.*, coalesce(a.page, f.page) AS page_start FROM fin ASOF LEFT JOIN mk a ON a.doc_id = fin.doc_id AND a.at_ <= fin.start LEFT JOIN f ON f.doc_id = fin.doc_id),
+pe AS (SELECT pg.cid, coalesce(b.page, f.page) AS page_end FROM pg ASOF LEFT JOIN mk b ON b.doc_id = pg.doc_id AND b.at_ <= pg.stop - 1 LEFT JOIN f ON f.doc_id = pg.doc_id)
+SELECT doc_id, 'rulebook:' || left(sha256('rulebook ' || doc_id || ' > ' || {BR} || ' ' || sp.body), 12) AS id, n::INT AS n, sub::INT AS sub, part, parts_total, page_start, page_end, ceil(length(sp.body) / 4)::INT AS token_count
+FROM pg JOIN pe USING (cid) JOIN sp USING (cid)""")
 def chunk_markdown(spark, sf_dir):
-    """The whole ingestion; its order-dependent step is tested against a restatement in Python."""
+    """The whole ingestion."""
     c = G.chunk_markdown(t.markdown(spark, sf_dir))
     return c.select("doc_id", "id", "n", "sub", "part", "parts_total", "page_start", "page_end", "token_count")
 
