@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions import text as T
 from marlspike.operators.assembly import as_of
+from marlspike.operators.folds import fold
 from marlspike.operators.unions import stacked
+from marlspike.sources.scratch import cut
 
 # Chunk sizes, list rules, authority of each document type.
 MIN_TOKENS, MAX_TOKENS = 120, 600
@@ -42,21 +43,23 @@ def headings(rows: DataFrame, pattern: str = HEADING) -> DataFrame:
 
 
 def breadcrumbs(heads: DataFrame) -> DataFrame:
-    """``heads`` with path: the titles of the open headings, in a fold over a document's headings."""
-    h = F.struct("n", "level", "title")
-    start = F.struct(F.array().cast("array<struct<level:int,title:string>>").alias("open"), F.array().cast("array<struct<n:int,path:array<string>>>").alias("out"))
-
-    def step(s, x):
-        kept = F.concat(F.filter(s.open, lambda o: o.level < x.level), F.array(F.struct(x.level.alias("level"), x.title.alias("title"))))
-        return F.struct(kept.alias("open"), F.concat(s.out, F.array(F.struct(x.n.alias("n"), F.transform(kept, lambda o: o.title).alias("path")))).alias("out"))
-
-    folded = heads.groupBy("doc_id").agg(F.sort_array(F.collect_list(h)).alias("hs")).select("doc_id", F.explode(F.aggregate("hs", start, step).out).alias("o"))
-    return heads.join(folded.select("doc_id", F.col("o.n").alias("n"), F.col("o.path").alias("path")), ["doc_id", "n"])
-
-
-def sections(docs: DataFrame) -> DataFrame:
-    """doc_id, n, level, title, path, at, own_start, own_end, slice, body: what each heading owns, containers left out."""
-    rows = lines(docs)
+    """``heads`` with path: the titles of the open headings. Of each level the last heading so far is open, unless one of a higher
+    level came after it: six running values, in one sort by document."""
+    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.last(F.when(F.col("level") == k, F.struct("n", "title")), ignorenulls=True).over(w).alias(f"_{k}") for k in range(1, 7)]
+    df = heads.select("*", *last)
+    crumbs = []
+    for k in range(1, 7):
+        above = F.greatest(F.lit(-1), F.lit(-1), *(F.coalesce(F.col(f"_{j}.n"), F.lit(-1)) for j in range(1, k)))
+        crumbs.append(F.when((F.col("level") >= k) & (F.col(f"_{k}.n") > above), F.col(f"_{k}.title")))
+    path = F.filter(F.array(*crumbs), lambda x: x.isNotNull())
+    return df.withColumn("path", path).drop(*(f"_{k}" for k in range(1, 7)))
+
+
+def sections(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, n, level, title, path, at, own_start, own_end, slice, body: what each heading owns, containers left out. rows: the
+    documents' ``lines``, if they are at hand."""
+    rows = lines(docs) if rows is None else rows
     heads = breadcrumbs(headings(rows))
     nxt = F.lead("at").over(Window.partitionBy("doc_id").orderBy("n"))
     heads = heads.withColumn("own_end", nxt)
@@ -79,18 +82,18 @@ def definition_lists(secs: DataFrame) -> DataFrame:
     return df.withColumn("n_defs", defs).withColumn("n_content", F.size("_rows")).drop("_rows").withColumn("is_list", (F.col("n_defs") >= LIST_MIN) & (F.col("n_defs") / F.greatest("n_content", F.lit(1)) >= LIST_SHARE))
 
 
-def raw_chunks(docs: DataFrame) -> DataFrame:
+def raw_chunks(docs: DataFrame, lines_of: DataFrame | None = None) -> DataFrame:
     """doc_id, n, sub, title, path, parent, start, stop, body, atomic: definitions one by one, what they leave, other sections.
 
     What a list leaves is dropped below twelve tokens.
     """
-    secs = definition_lists(sections(docs))
+    secs = definition_lists(sections(docs, lines_of))
     plain = secs.where("NOT is_list").select("doc_id", "n", F.lit(-1).alias("sub"), "title", "path", F.slice("path", 1, F.size("path") - 1).alias("up"), F.col("at").alias("start"), F.col("own_end").alias("stop"), "body", F.lit(False).alias("atomic"))
     lists = secs.where("is_list")
-    ends = F.transform(F.split("slice", "\n"), lambda x: T.units(x) + 1)
-    rows = lists.withColumn("_ends", ends).select("doc_id", "n", "title", "path", "own_start", "own_end", "at", "_ends", F.posexplode(F.split("slice", "\n")).alias("i", "raw")).withColumn("t", T.trim(F.col("raw")))
-    off = F.aggregate(F.slice("_ends", 1, F.col("i")), F.lit(0), lambda a, x: a + x)
-    d = rows.where(F.col("t").rlike(T.DEFINITION)).withColumn("term", T.trim(F.regexp_extract("t", T.DEFINITION, 1))).withColumn("start", F.col("own_start") + off)
+    rows = lists.select("doc_id", "n", "title", "path", "own_start", "own_end", "at", F.posexplode(F.split("slice", "\n")).alias("i", "raw")).withColumn("t", T.trim(F.col("raw")))
+    off = F.coalesce(F.sum(T.units(F.col("raw")) + 1).over(Window.partitionBy("doc_id", "n").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_off", off)
+    d = rows.where(F.col("t").rlike(T.DEFINITION)).withColumn("term", T.trim(F.regexp_extract("t", T.DEFINITION, 1))).withColumn("start", F.col("own_start") + F.col("_off"))
     defs = d.select("doc_id", "n", F.col("i").alias("sub"), F.col("term").alias("title"), F.concat("path", F.array("term")).alias("path"), F.col("path").alias("up"), "start", (F.col("start") + T.units(F.col("t"))).alias("stop"), F.col("t").alias("body"), F.lit(True).alias("atomic"))
     left = F.array_join(F.transform(F.filter(_content_lines(), lambda x: ~x.t.rlike(T.DEFINITION) | x.t.startswith("<!-- page:")), lambda x: x.raw), "\n")
     rest = lists.withColumn("body", T.clean(left)).where(T.est_tokens(F.col("body")) >= REST_MIN)
@@ -111,30 +114,31 @@ MERGED = "doc_id long, n int, sub int, title string, path array<string>, start l
 def merge_upward(raw: DataFrame, least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
     """Small sections without children go into the chunk of their parent's path, in document order, while it has room.
 
-    Order-dependent (a parent grows as it absorbs), so one document is one group; its size is that of one document.
+    Order-dependent (a parent grows as it absorbs), so a document is one fold; what a task holds is one document.
     """
 
     def tokens(s: str) -> int:
         return -(-len(s.encode("utf-16-le")) // 8)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        last: dict[str, dict] = {}
-        for r in group.sort_values(["n", "sub"]).to_dict("records"):
-            up = last.get(r["parent"])
-            small = not r["atomic"] and tokens(r["body"]) < least and not r["has_children"]
-            if small and up is not None and not up["atomic"] and tokens(up["body"]) + tokens(r["body"]) <= most:
-                up["body"] += f"\n\n### {r['title']}\n\n{r['body']}"
-                up["stop"] = max(up["stop"], r["stop"])
-                up["merged"] = [*(up["merged"] or []), r["title"]]
-                continue
-            r["merged"] = None
-            kept.append(r)
-            last[r["key"]] = r
-        names = ["doc_id", "n", "sub", "title", "path", "start", "stop", "body", "atomic", "merged"]
-        return pd.DataFrame([{k: r[k] for k in names} for r in kept], columns=names)
-
-    return with_children(raw).groupBy("doc_id").applyInPandas(fold, MERGED)
+    def step(state: tuple[list, dict], r: dict) -> list[tuple]:
+        kept, last = state
+        up, size = last.get(r["parent"]), tokens(r["body"])
+        if not r["atomic"] and size < least and not r["has_children"] and up is not None and not up["atomic"] and up["tokens"] + size <= most:
+            up["parts"].append(f"\n\n### {r['title']}\n\n{r['body']}")
+            up["units"] += len(up["parts"][-1].encode("utf-16-le")) // 2
+            up["tokens"] = -(-up["units"] // 4)
+            up["stop"] = max(up["stop"], r["stop"])
+            up["merged"].append(r["title"])
+            return []
+        r |= {"parts": [r["body"]], "units": len(r["body"].encode("utf-16-le")) // 2, "tokens": size, "merged": []}
+        kept.append(r)
+        last[r["key"]] = r
+        return []
+
+    def end(state: tuple[list, dict]) -> list[tuple]:
+        return [(r["doc_id"], r["n"], r["sub"], r["title"], r["path"], r["start"], r["stop"], "".join(r["parts"]), r["atomic"], r["merged"] or None) for r in state[0]]
+
+    return fold(with_children(raw), "doc_id", ["n", "sub"], lambda: ([], {}), step, MERGED.replace("doc_id long", f"doc_id {raw.schema['doc_id'].dataType.simpleString()}"), end)
 
 
 def pack(paragraphs: Column, most: int = MAX_TOKENS, glue: str = "\n\n") -> Column:
@@ -164,8 +168,9 @@ def split_oversized(df: DataFrame, body: str = "body", separator: str = r"\n\s*\
 
 def chunk_markdown(docs: DataFrame) -> DataFrame:
     """All steps: chunks of ``docs`` (doc_id, md) with pages, parts, token counts and content-derived ids."""
-    merged = merge_upward(raw_chunks(docs))
-    marks = page_marks(lines(docs)).select("doc_id", "at", "page")
+    rows = cut(lines(docs), "lines")
+    merged = merge_upward(raw_chunks(docs, rows))
+    marks = page_marks(rows).select("doc_id", "at", "page")
     first = as_of(merged.withColumn("at", F.col("start")), marks, ["doc_id"], "at", "page").withColumnRenamed("page", "page_start").drop("at")
     both = as_of(first.withColumn("at", F.col("stop") - 1), marks, ["doc_id"], "at", "page").withColumnRenamed("page", "page_end").drop("at")
     out = split_oversized(both).withColumnRenamed("body", "content").withColumn("token_count", T.est_tokens(F.col("content")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.functions.text import backoff_seconds
+from marlspike.operators.folds import fold
 
 # Items and tokens per batch, requests and tokens per minute.
 BATCH_ITEMS, BATCH_TOKENS = 64, 8000
@@ -20,20 +21,19 @@ LADDERS = {"query": (21.0, 90.0, 6), "rerank": (20.0, 90.0, 6), "ingest": (60.0
 def greedy_batches(df: DataFrame, by: str = "queue", order: str = "pos", size: str = "tokens", items: int = BATCH_ITEMS, tokens: int = BATCH_TOKENS) -> DataFrame:
     """(by, order, batch): in order, a batch is closed before an item that would exceed its count or tokens; no batch is empty.
 
-    Order-dependent, so a queue is one fold; queues are independent of each other and should be as many as there are workers.
+    Order-dependent, so a queue is one fold, which holds no more than the open batch's sums; queues are independent of each other
+    and should be as many as there are workers.
     """
-    rows = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("batch"), zero.alias("n"), zero.alias("t"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s, r):
-        new = (s.n > 0) & ((s.n >= items) | (s.t + r.s > tokens))
-        batch = s.batch + new.cast("long")
-        return F.struct(batch.alias("batch"), (F.when(new, 0).otherwise(s.n) + 1).cast("long").alias("n"), (F.when(new, 0).otherwise(s.t) + r.s).cast("long").alias("t"), F.concat(s.out, F.array(batch)).alias("out"))
-
-    folded = rows.select(by, "rows", F.aggregate("rows", start, step).out.alias("batches"))
-    flat = folded.select(by, F.explode(F.arrays_zip("rows", "batches")).alias("x"))
-    return flat.select(by, F.col("x.rows.o").alias(order), F.col("x.batches").alias("batch"))
+
+    def step(s: dict, r: dict) -> list[tuple]:
+        if s["n"] and (s["n"] >= items or s["t"] + r[size] > tokens):
+            s["batch"], s["n"], s["t"] = s["batch"] + 1, 0, 0
+        s["n"], s["t"] = s["n"] + 1, s["t"] + r[size]
+        return [(r[by], r[order], s["batch"])]
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (by, order)}
+    rows = df.select(by, order, F.col(size).cast("long").alias(size))
+    return fold(rows, by, [order, size], lambda: {"batch": 0, "n": 0, "t": 0}, step, f"{by} {kinds[by]}, {order} {kinds[order]}, batch long")
 
 
 def minutes_left(batches: Column, tokens: Column, per_minute: int = PER_MINUTE, tokens_per_minute: int = TOKENS_PER_MINUTE) -> Column:

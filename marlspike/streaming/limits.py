@@ -11,6 +11,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from marlspike.operators.folds import fold
+
 # An hour, 20 requests, a minute.
 HOUR_US, MOST, MINUTE_US = 3_600_000_000, 20, 60_000_000
 
@@ -33,27 +35,25 @@ def rolling_sum(events: DataFrame, key: str, us: str, value: str, window_us: int
 def throttle_waits(events: DataFrame, key: str, tokens_per_minute: int, gap_us: int) -> DataFrame:
     """(key, seq, start_us, wait_us): when each request may start on a simulated clock, by token budget and request gap.
 
-    events: key, seq, us (asked), tokens. Order-dependent, so a key is one group.
+    events: key, seq, us (asked), tokens. Order-dependent, so a key is one fold, which holds a minute's requests.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        held: deque[tuple[int, int]] = deque()
-        out, last, total = [], None, 0
-        for r in group.sort_values(["us", "seq"]).itertuples():
-            now = int(r.us) if last is None else max(int(r.us), last + gap_us)
-            while held:
-                while held and now - held[0][0] > MINUTE_US:  # starts are in order
-                    total -= held.popleft()[1]
-                if not held or total + r.tokens <= tokens_per_minute:
-                    break
-                now = held[0][0] + MINUTE_US + 1
-            held.append((now, int(r.tokens)))
-            total += int(r.tokens)
-            last = now
-            out.append((getattr(r, key), int(r.seq), now, now - int(r.us)))
-        return pd.DataFrame(out, columns=[key, "seq", "start_us", "wait_us"])
-
-    return events.groupBy(key).applyInPandas(run, f"{key} {events.schema[key].dataType.simpleString()}, seq long, start_us long, wait_us long")
+    def step(s: dict, r: dict) -> list[tuple]:
+        held = s["held"]
+        now = r["us"] if s["last"] is None else max(r["us"], s["last"] + gap_us)
+        while held:
+            while held and now - held[0][0] > MINUTE_US:  # starts are in order
+                s["total"] -= held.popleft()[1]
+            if not held or s["total"] + r["tokens"] <= tokens_per_minute:
+                break
+            now = held[0][0] + MINUTE_US + 1
+        held.append((now, r["tokens"]))
+        s["total"] += r["tokens"]
+        s["last"] = now
+        return [(r[key], r["seq"], now, now - r["us"])]
+
+    rows = events.select(key, *(F.col(c).cast("long").alias(c) for c in ("seq", "us", "tokens")))
+    return fold(rows, key, ["us", "seq"], lambda: {"held": deque(), "total": 0, "last": None}, step, f"{key} {events.schema[key].dataType.simpleString()}, seq long, start_us long, wait_us long")
 
 
 class _Limiter(StatefulProcessor):
