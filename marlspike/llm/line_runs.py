@@ -27,19 +27,23 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, extended, read_table, row_key, slices, text_of
-from .quality_rules import SPACES, WORD
+from .quality_rules import SPACES
 
 MIN_WORDS = 50
-CHUNK = 1 << 18  # suffixes that one task holds
+CHUNK = 1 << 16  # suffixes that one task holds
+ROWS = 500_000  # of a task that orders rows
 
 
-def _partitions(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _partitions(df: DataFrame, rows: int | None) -> int:
+    """Of a range sort: as many as the session's shuffles have, or fewer for few rows."""
+    most = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return most if rows is None else max(1, min(most, -(-rows // ROWS)))
 
 
 def _based(df: DataFrame, size: str, out: str) -> DataFrame:
@@ -51,8 +55,8 @@ def _based(df: DataFrame, size: str, out: str) -> DataFrame:
     return df.join(F.broadcast(bases), F.col("part") == F.col("_part")).withColumn(out, F.col(out) + F.col("_base")).drop("part", "_part", "_base")
 
 
-def _running(df: DataFrame, cols: list[str], size: str) -> DataFrame:
-    """(cols, size) with before: the sum of size of all rows that come before in the order of cols."""
+def _running(df: DataFrame, cols: list[str], size: str, most: int | None = None) -> DataFrame:
+    """(cols, size) with before: the sum of size of all rows that come before in the order of cols. most: rows at most, if known."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -65,16 +69,26 @@ def _running(df: DataFrame, cols: list[str], size: str) -> DataFrame:
             total = int(to[-1]) if len(to) else total
 
     rows = df.select(*cols, F.col(size).cast("long").alias(size))
-    ordered = rows.repartitionByRange(_partitions(df), *cols).sortWithinPartitions(*cols)
+    ordered = rows.repartitionByRange(_partitions(df, most), *cols).sortWithinPartitions(*cols)
     return _based(cut(ordered.mapInArrow(run, extended(rows, "part long, before long")), "running"), f"sum({size})", "before")
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     """(did, th, seq, line, words): every line with a word; line is a 128-bit hash."""
-    t = F.split(text_of(text), "\n")
-    worded = F.filter(t, lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    flat = docs.select(*row_key(), F.posexplode(worded).alias("seq", "raw"))
-    return flat.select("did", "th", "seq", F.unhex(F.md5(F.col("raw").cast("binary"))).alias("line"), F.regexp_count("raw", F.lit(WORD)).alias("words"))
+
+    def run(batches):
+        for b in slices(batches):
+            n, seq, line, words = [], [], [], []
+            for t in b.column(2):
+                found = [(x, k) for x in (t.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n") if (k := len(x.split()))]  # bytes: the six ASCII spaces
+                n.append(len(found))
+                seq += range(len(found))
+                line += [xxhash.xxh3_128_digest(x) for x, _ in found]
+                words += [k for _, k in found]
+            of = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(seq, pa.int32()), pa.array(line, pa.binary()), pa.array(words, pa.int32())], names=["did", "th", "seq", "line", "words"])
+
+    return docs.select(*row_key(), text_of(text).alias("text")).mapInArrow(run, "did long, th long, seq int, line binary, words int")
 
 
 def _numbered(level: DataFrame, least: int) -> DataFrame:
@@ -120,15 +134,15 @@ def _numbered(level: DataFrame, least: int) -> DataFrame:
             yield whole(held)
 
     back = [F.col(c).desc() for c in ("did", "th", "seq")]
-    ordered = level.select(*(F.col(n).cast("long").alias(n) for n in names)).repartitionByRange(_partitions(level), *back[:2]).sortWithinPartitions(*back)
+    ordered = level.select(*(F.col(n).cast("long").alias(n) for n in names)).repartitionByRange(_partitions(level, None), *back[:2]).sortWithinPartitions(*back)
     schema = ", ".join(f"{n} long" for n in [*names, "rem", "remw", "part", "number"])
     return _based(cut(ordered.mapInArrow(run, schema), "numbered"), "max(number)", "number").withColumn("p", -F.col("number")).drop("number")
 
 
 def _orders(places: DataFrame) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
     """(p, rank, rem) -> the final (p, rank), and of each depth h the (p, rank) of those that agree with others in h lines."""
-    live, done, depths, h = cut(places.select("p", "rank", "rem"), "open"), [], [], 1
-    while not live.isEmpty():
+    live, done, depths, h = places.select("p", "rank", "rem"), [], [], 1
+    while n := live.count():
         depths.append((h, live.select("p", "rank")))
         known = live.select("p", "rank")
         for d in done:
@@ -136,9 +150,9 @@ def _orders(places: DataFrame) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
         after = known.select((F.col("p") - h).alias("p"), F.col("rank").alias("r2"))
         own = live.withColumnRenamed("rank", "r1")
         pairs = cut(own.where(F.col("rem") > h).join(after, "p").unionByName(own.where(F.col("rem") == h).withColumn("r2", F.lit(-1).cast("long"))), "pairs")
-        counted = _running(pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("c")), ["r1", "r2"], "c")
+        counted = _running(pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("c")), ["r1", "r2"], "c", n)
         low = counted.groupBy("r1").agg(F.min("before").alias("low"))
-        fresh = cut(counted.join(low, "r1").select("r1", "r2", "c", (F.col("r1") + F.col("before") - F.col("low")).alias("rank")), "ranks")
+        fresh = counted.join(low, "r1").select("r1", "r2", "c", (F.col("r1") + F.col("before") - F.col("low")).alias("rank"))
         updated = cut(pairs.join(fresh, ["r1", "r2"]).select("p", "rank", "rem", ((F.col("c") > 1) & (F.col("rem") >= 2 * h)).alias("live")), "updated")
         done.append(updated.where("NOT live").select("p", "rank"))
         live, h = updated.where("live").drop("live"), 2 * h
@@ -153,7 +167,7 @@ def suffix_array(places: DataFrame, least: int) -> DataFrame:
     with the one before."""
     ranks, depths = _orders(places)
     wanted = places.where(F.col("remw") >= least).select("p")
-    order = cut(_running(ranks.join(wanted, "p", "left_semi").withColumn("one", F.lit(1)), ["rank", "p"], "one").select(F.col("before").alias("i"), "p"), "order")
+    order = cut(_running(ranks.join(wanted, "p", "left_semi").withColumn("one", F.lit(1)), ["rank", "p"], "one", places.count()).select(F.col("before").alias("i"), "p"), "order")
     pairs = order.join(order.select((F.col("i") + 1).alias("i"), F.col("p").alias("prev")), "i", "left").withColumn("lcp", F.lit(0).cast("long"))
     for h, level in reversed(depths):
         a, b = (level.select(F.col("p").alias(f"_{x}"), F.col("rank").alias(f"_r{x}")) for x in "ab")
