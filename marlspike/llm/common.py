@@ -1,9 +1,7 @@
-"""What the training-data operators share: scratch tables in the cluster's shared folder, row keys and Arrow helpers."""
+"""What the training-data operators share: row keys, Arrow helpers and memos; scratch tables are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,27 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows that a Python worker holds at once, beside the batch that Spark handed over.
-SLICE = 256
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share (``spark.checkpoint.dir``).
+from marlspike.sources.scratch import cut, scratch
 
-    Only where the session has none, as in local tests, a temporary folder of this machine takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="marlspike-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/marlspike-{uuid.uuid4().hex}/{name}"
+__all__ = ["Bounded", "SLICE", "cut", "extended", "read_table", "row_key", "scratch", "slices", "text_of"]
 
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no rerun."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that a Python worker holds at once, beside the batch that Spark handed over.
+SLICE = 256
 
 
 def text_of(column: str = "text") -> Column:

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlspike.llm import mixing
+from marlspike.llm import mixing, sentence_pieces, token_counts
 from marlspike.llm.near_duplicates import keep_one
 from tests.llm import brute
 from tests.llm.test_llm import DOCS, SF, docs_of, edited, frame, prose
@@ -30,9 +30,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     got = {}
     for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
-        got.setdefault(x["doc_id"], []).append(x["n_pieces"])
-    want = brute_pipeline([(x["doc_id"], x["text"], x["lang"], x["source"]) for x in df.collect()])
-    assert {d: len(n) for d, n in got.items()} == {d: c for d, (c, _) in want.items()}
+        got.setdefault(x["doc_id"], []).append((tuple(x["piece_ids"]), x["n_pieces"], x["lang"], x["source"], x["round_trip"]))
+    known = {x["doc_id"]: x for x in df.collect()}
+    want = brute_pipeline([(d, x["text"], x["lang"], x["source"]) for d, x in known.items()])
+    encoder = sentence_pieces.Encoder(*sentence_pieces.load(token_counts.vocabulary(sentence_pieces.MODEL)))
+    assert any(text != known[d]["text"] for d, (_, text) in want.items())  # lines went
+    for d, (copies, text) in want.items():
+        ids = tuple(encoder.encode(text)[0])
+        assert encoder.decode(ids) == text
+        assert got.pop(d) == [(ids, len(ids), known[d]["lang"], known[d]["source"], True)] * copies
+    assert not got
 
 
 def test_stages_keep_columns_and_edges(spark):
