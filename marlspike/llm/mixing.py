@@ -72,7 +72,9 @@ def mix(docs: DataFrame, levels=LEVELS, weights=WEIGHTS, default=DEFAULT, max_ep
 
     ``docs`` has doc_id, text and the levels. Tokens are words between ASCII spaces; null texts have none. Null level values
     stand as the empty text. Rows equal in doc_id and text are one unit: taken together, and their tokens count for each.
-    Documents without tokens are taken with the prefix that reaches them. An empty table gives an empty table.
+    Documents without tokens are taken with the prefix that reaches them. A very long text is one unit as any other: the prefix
+    that reaches its first token takes it whole. Other columns aren't looked at, whatever their names. An empty table gives an
+    empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), *(F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in levels), F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("n_tokens"))
     units = cut(rows.groupBy("doc_id", "did", "th", *levels).agg(F.first("n_tokens").alias("n_tokens"), F.sum("n_tokens").alias("unit_tokens")), "units")
@@ -93,13 +95,19 @@ def mix(docs: DataFrame, levels=LEVELS, weights=WEIGHTS, default=DEFAULT, max_ep
 
 
 def take_mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in the mixture, with their columns; a document that several epochs take comes that often."""
+    """The rows of ``docs`` (doc_id, text, lang, source) in the mixture, with all their columns and no other; a document that several
+    epochs take comes that often. Nulls in any column and repeated rows are treated as in ``mix``; rows that share a doc_id and
+    differ in text are told apart. Columns named ``domain``, ``copies`` or ``key`` stay as they are; names that begin with an
+    underscore and are used here (_k1, _k2, _did, _th, _d, _l, _s, _e, _copies) are refused.
+    """
+    if clash := {"_k1", "_k2", "_did", "_th", "_d", "_l", "_s", "_e", "_copies"} & set(docs.columns):
+        raise ValueError(f"columns of these names are used inside: {sorted(clash)}")
     docs_in = docs.drop("domain").withColumn("domain", domain_of())
     chosen = cut(mix(docs_in).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "copies"), "chosen")
     did, th = row_key()
     same = (F.col("_k1") == F.col("_did")) & (F.col("_k2") == F.col("_th")) & (F.coalesce("lang", F.lit("")) == F.col("_l")) & (F.coalesce("source", F.lit("")) == F.col("_s"))
-    out = docs.withColumns({"_k1": did, "_k2": th}).join(chosen.hint("merge"), same)
-    return out.withColumn("_e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = docs.withColumns({"_k1": did, "_k2": th}).join(chosen.withColumnRenamed("copies", "_copies").hint("merge"), same)
+    return out.withColumn("_e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -157,20 +157,16 @@ class Encoder:
         body = rf"[^{MARK}{alone}]+"
         self.segments = re.compile(rf"{MARK}*{body}|{MARK}+" + (f"|{alone}" if alone else "")).findall if split else lambda s: [s]
         self.memo = Bounded(self.packed, MEMO)
-        self.np_steps, self.np_check, self.np_value = (np.array(x, np.int32) for x in (self.steps_of(trie), trie.check, trie.value))
-        self.np_gain = np.array([model.scores[v] if v >= 0 else -math.inf for v in trie.value])
+        self.np_steps, self.np_check, self.np_value = (np.array(x, np.int32) for x in ([b + 1 for b in trie.base], trie.check, trie.value))
+        self.np_gain = np.array([model.scores[v] if v >= 0 else -math.inf for v in trie.value], np.float32)
         self.byte_of = {i: b for b, i in model.bytes.items()}
         self.is_byte = np.isin(np.arange(len(model.pieces)), list(self.byte_of))
         # What each piece adds to a path's score: a character without a piece counts once, with its first byte.
         self.scores = np.array([(0.0 if 0x80 <= self.byte_of[i] < 0xC0 else self.unk_score) if i in self.byte_of else self.unk_score if i == model.unk else x for i, x in enumerate(model.scores)])
-        self.steps = self.steps_of(trie)
-        self.gain = [model.scores[v] if v >= 0 else None for v in trie.value]
+        self.steps, self.check, self.value = self.np_steps.tolist(), trie.check, trie.value
+        self.gain = [g if v >= 0 else None for g, v in zip(self.np_gain, trie.value, strict=True)]
         self.shown = ["" if k == CONTROL else " ⁇ " if k == UNKNOWN else p for p, k in zip(model.pieces, model.types, strict=True)]
 
-    @staticmethod
-    def steps_of(trie: DoubleArray) -> list[int]:
-        return [b + 1 for b in trie.base]
-
     def normal(self, text: str) -> str:
         if self.model.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -178,15 +174,17 @@ class Encoder:
             return ""
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
-    def best(self, segment: str) -> tuple[tuple[int, ...], float]:
-        """The pieces of the best path, and its score. Of equal paths, the one found first: longer last pieces win."""
+    def packed(self, segment: str) -> bytes:
+        return self._alone(segment) if len(segment) > LONG else self._together([segment])[0]
+
+    def _alone(self, segment: str) -> bytes:
+        """``_together`` of one segment, step by step: what long ones take, where arrays over one row would be slow."""
         data = segment.encode("utf-8", "surrogatepass")
         n = len(data)
-        steps, check, value, gain = self.steps, self.trie.check, self.trie.value, self.gain
-        top = [-math.inf] * (n + 1)
-        start, piece = [0] * (n + 1), [-1] * (n + 1)
-        top[0] = 0.0
-        at = 0
+        steps, check, value, gain, unknown = self.steps, self.check, self.value, self.gain, np.float32(self.unk_score)
+        none = np.float32(-math.inf)
+        top, start, piece = [none] * (n + 5), [0] * (n + 5), [-1] * (n + 5)
+        top[0], at = np.float32(0), 0
         while at < n:
             c = data[at]
             end = at + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
@@ -198,31 +196,19 @@ class Encoder:
                 s, p = t, p + 1
                 g = gain[s]
                 if g is not None:
-                    if here + g > top[p]:
-                        top[p], start[p], piece[p] = here + g, at, value[s]
+                    score = here + g
+                    if score > top[p]:
+                        top[p], start[p], piece[p] = score, at, value[s]
                     if p == end:
                         single = True
-            if not single and here + self.unk_score > top[end]:
-                top[end], start[end], piece[end] = here + self.unk_score, at, -1
+            if not single and here + unknown > top[end]:
+                top[end], start[end], piece[end] = here + unknown, at, -1
             at = end
-        ids: list[int] = []
-        p = n
-        while p:
-            q, v = start[p], piece[p]
-            if v >= 0:
-                ids.append(v)
-            elif self.model.bytes:
-                ids += [self.model.bytes[b] for b in reversed(data[q:p])]
-            else:
-                ids.append(self.model.unk)
-            p = q
-        return tuple(reversed(ids)), top[n]
-
-    def packed(self, segment: str) -> bytes:
-        return array("i", self.best(segment)[0]).tobytes()
+        return self._spelled(data, start, piece)
 
     def _together(self, segments: list[str]) -> list[bytes]:
-        """``packed`` of many segments: the same comparisons in the same order, over all of them at once."""
+        """The pieces of each segment's best path, packed. Scores add up in 32 bits, as in the format's own encoder; of equal paths the
+        one found first stays: that with the longer last piece."""
         raw = [x.encode("utf-8", "surrogatepass") for x in segments]
         n = np.array([len(x) for x in raw])
         rows, longest = len(raw), int(n.max())
@@ -230,7 +216,7 @@ class Encoder:
         data[np.arange(longest) < n[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
         width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
         begins = ((data & 0xC0) != 0x80) & (np.arange(longest) < n[:, None])
-        top = np.full((rows, longest + 5), -math.inf)
+        top = np.full((rows, longest + 5), -math.inf, np.float32)
         start, piece = np.zeros((rows, longest + 5), np.int32), np.full((rows, longest + 5), -1, np.int32)
         top[:, 0] = 0.0
         for at in range(longest):
@@ -255,7 +241,7 @@ class Encoder:
                     r, state, here, stop = r[more], state[more], here[more], stop[more]
             lone = ~single[mine]
             if lone.any():
-                k, to, score = mine[lone], end[lone], top[mine[lone], at] + self.unk_score
+                k, to, score = mine[lone], end[lone], top[mine[lone], at] + np.float32(self.unk_score)
                 better = score > top[k, to]
                 k, to = k[better], to[better]
                 top[k, to], start[k, to], piece[k, to] = score[better], at, -1
@@ -263,12 +249,22 @@ class Encoder:
         live = np.arange(rows)
         while len(live):
             v = piece[live, place[live]]
-            plain[live[v < 0]] = False  # a character without a piece: such segments are searched one by one
+            plain[live[v < 0]] = False  # a character without a piece
             count[live] += 1
             ids[live, longest + 1 - count[live]] = v
             place[live] = start[live, place[live]]
             live = live[place[live] > 0]
-        return [ids[i, longest + 1 - c :].tobytes() if ok else self.packed(segments[i]) for i, (c, ok) in enumerate(zip(count.tolist(), plain.tolist(), strict=True))]
+        return [ids[i, longest + 1 - c :].tobytes() if ok else self._spelled(raw[i], start[i], piece[i]) for i, (c, ok) in enumerate(zip(count.tolist(), plain.tolist(), strict=True))]
+
+    def _spelled(self, data: bytes, start, piece) -> bytes:
+        """A path on which characters without a piece become their bytes, or the unknown piece."""
+        ids: list[int] = []
+        p = len(data)
+        while p:
+            q, v = int(start[p]), int(piece[p])
+            ids += [v] if v >= 0 else [self.model.bytes[b] for b in reversed(data[q:p])] if self.model.bytes else [self.model.unk]
+            p = q
+        return array("i", reversed(ids)).tobytes()
 
     def learn(self, segments: set[str]) -> None:
         """Put these segments into the memo: from its old generation, or searched together. Longer ones than LONG are left out."""
