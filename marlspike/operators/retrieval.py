@@ -62,7 +62,7 @@ class Lexical:
 
     def parts(self, asked: DataFrame) -> DataFrame:
         """(term, id, part): what each of these terms adds to the score of each chunk that has it."""
-        post = postings(self.docs, asked)
+        post = cut(postings(self.docs, asked), "counted")
         df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(IDF_FLOOR))
         norm = 1 - B + B * F.col("len") / F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1)
