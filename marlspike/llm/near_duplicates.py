@@ -14,8 +14,10 @@ Large buckets are never expanded into pairs:
 3. larger ones: an exact prefix filter over the members' sets (frequent shingles last): two sets that are similar enough
    share a shingle of their prefixes. A passage that many documents share is frequent, so it comes last in that order and
    yields nothing. Up to SMALL members that share a prefix shingle are compared pair by pair. More of them are a family of
-   overlapping near copies: it is dealt to blocks of about BLOCK members, each pair of blocks is one task that multiplies
-   their incidence matrices, and only a spanning forest of the links that it finds leaves the task.
+   overlapping near copies: it is dealt to blocks of about BLOCK members and BLOCK_SHINGLES shingles. A task multiplies the
+   incidence matrices of two blocks, and only a spanning forest of the links that it finds leaves it. In families of more than
+   DIRECT blocks, all blocks meet the first one, the pivots; members that are then in the family's largest component meet only
+   those that aren't. In smaller ones all pairs of blocks meet at once, which is less work than to look at the links between.
 
 Every step writes its table to the shared folder. Nothing is collected but the count of edges per round.
 """
@@ -28,18 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, cut, read_table, row_key, slices, text_of
+from .common import cut, read_table, row_key, slices, text_of
 
 WORDS = 5
 NUM, DEN = 75, 100  # linked if DEN * intersection >= NUM * union
 CHUNKS, CHUNK, ERRORS = 10, 4, 1
 K = CHUNKS * CHUNK
 SMALL = 32
-BLOCK = 384
-FREQUENT, RANGE = 1_000_000, 4_000_000
-FILTER = 1 << 24  # bits that tell which shingles may be in two sets
+BLOCK, BLOCK_SHINGLES, DIRECT = 384, 400_000, 64
+FREQUENT = 1_000_000
+RANGE, MOST_RANGES = 1 << 19, 1 << 20  # shingles whose counts one task merges, as long as there are no more ranges than this
+FILTER = 1 << 24  # bits that tell which shingles may be in two sets; two bytes a range at least
 COLUMNS = 8192  # shingles that a block's matrix holds at once
-MEMO = 500_000
+BYTES = 1 << 16  # of a text whose words are hashed together
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(20240607).integers(1, 2**63, K, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,15 +55,38 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_WORD = Bounded(lambda w: xxhash.xxh3_64_intdigest(w), MEMO)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse
+_POWERS, _INVERSES = (np.cumprod(np.array([1] + [x] * BYTES, np.uint64)) for x in (_BASE, pow(_BASE, -1, 2**64)))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text, by its bytes alone: a polynomial that is summed over the text at once, and taken apart
+    at the words' ends. Longer words than BYTES are hashed one by one."""
+    a = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate(([True], _SPACE[a], [True])).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + BYTES, "right"))
+        if i == j:
+            out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+            i += 1
+            continue
+        s, e = start[i:j] - start[i], end[i:j] - start[i]
+        total = np.zeros(e[-1] + 1, np.uint64)
+        np.cumsum((a[start[i] : end[j - 1]].astype(np.uint64) + np.uint64(1)) * _POWERS[: e[-1]], out=total[1:])
+        out[i:j] = _mix((total[e] - total[s]) * _INVERSES[s] + (e - s).astype(np.uint64) * _MUL)
+        i = j
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles; fewer words than WORDS: of all of them as one; none: empty."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and the six ASCII spaces
-    if not words:
+    w = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())  # bytes: A-Z only, and the six ASCII spaces
+    if not len(w):
         return np.array([], np.uint64)
-    w = np.fromiter(map(_WORD.__getitem__, words), np.uint64, len(words))
     n = min(WORDS, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
@@ -168,38 +194,45 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _bit(x: np.ndarray, parts: int) -> np.ndarray:
+def _width(parts: int) -> int:
+    """Bits of the filter that each range has."""
+    return max(16, FILTER // parts // 8 * 8)
+
+
+def _bit(x: np.ndarray, parts: int, width: int) -> np.ndarray:
     """Where in the filter a shingle's bit lies: each range of shingles has a share of its own."""
-    width = np.uint64(max(8, FILTER // parts // 8 * 8))
-    return (x % np.uint64(parts)) * width + (x >> np.uint64(20)) % width
+    return (x % np.uint64(parts)) * np.uint64(width) + (x >> np.uint64(20)) % np.uint64(width)
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """The shingles of more than SMALL of these sets, sorted (of more than FREQUENT of them, the most frequent); a filter of
-    fixed size that has the bits of all shingles of two sets or more, and perhaps others; and its number of ranges.
+    FILTER bits (MOST_RANGES times two bytes at most) that has the bits of all shingles of two sets or more, and perhaps others;
+    its number of ranges and the bits of each.
 
     Frequent ones come last in the prefix order. Any order is exact, and a shingle without its bit meets nothing, so both
-    bounds cost time at worst. Counts travel packed, a row per
-    slice of sets and range of shingles; a range holds RANGE shingles at most before they are merged.
+    bounds cost time at worst. Counts travel packed, a row per slice of sets and range of shingles.
     """
-    parts = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // RANGE))
+    parts = max(1, min(MOST_RANGES, -(-(sets.agg(F.sum("n")).first()[0] or 0) // RANGE)))
+    width = _width(parts)
 
     def count(batches):
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             x, n = np.unique(np.concatenate([np.frombuffer(r.as_py(), "<u8") for r in b.column(0)]), return_counts=True)
             part = (x % np.uint64(parts)).astype(np.int64)
-            for i in np.unique(part).tolist():
-                mine = part == i
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x[mine].tobytes()], pa.binary()), pa.array([n[mine].astype("<i8").tobytes()], pa.binary())], names=["part", "shingles", "counts"])
+            order = np.argsort(part, kind="stable")
+            x, n, part = x[order], n[order].astype("<i8"), part[order]
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = [*at[1:].tolist(), len(part)]
+            raw = [(x[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(at.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([r[0] for r in raw], pa.binary()), pa.array([r[1] for r in raw], pa.binary())], names=["part", "shingles", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
         x = np.concatenate([np.frombuffer(r.as_py(), "<u8") for r in table.column("shingles")])
         n = np.concatenate([np.frombuffer(r.as_py(), "<i8") for r in table.column("counts")])
         x, at = np.unique(x, return_inverse=True)
         n = np.bincount(at, n).astype(np.int64)
-        width = max(8, FILTER // parts // 8 * 8)
         bits = np.zeros(width, bool)
-        bits[(_bit(x[n > 1], parts) % np.uint64(width)).astype(np.int64)] = True
+        bits[(_bit(x[n > 1], parts, width) % np.uint64(width)).astype(np.int64)] = True
         often = x[n > SMALL].view("<i8")
         rows = [[*often.tolist(), None], [*n[n > SMALL].tolist(), None], [None] * len(often) + [np.packbits(bits).tobytes()], [None] * len(often) + [table.column("part")[0].as_py()]]
         return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.int64())], names=["shingle", "df", "bits", "part"])
@@ -207,18 +240,17 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     packed = sets.select("set").mapInArrow(count, "part long, shingles binary, counts binary")
     merged = cut(packed.groupBy("part").applyInArrow(merge, "shingle long, df long, bits binary, part long"), "counts")
     found = merged.where("shingle IS NOT NULL").orderBy(F.desc("df"), "shingle").limit(FREQUENT).select("shingle").collect()
-    width = max(8, FILTER // parts // 8 * 8) // 8
-    seen = np.zeros(width * parts, np.uint8)
+    seen = np.zeros(width // 8 * parts, np.uint8)
     for x in merged.where("bits IS NOT NULL").select("part", "bits").toLocalIterator():
-        seen[x["part"] * width : (x["part"] + 1) * width] = np.frombuffer(x["bits"], np.uint8)
-    return np.sort(np.array([x[0] for x in found], np.int64).view(np.uint64)), seen, parts
+        seen[x["part"] * (width // 8) : (x["part"] + 1) * (width // 8)] = np.frombuffer(x["bits"], np.uint8)
+    return np.sort(np.array([x[0] for x in found], np.int64).view(np.uint64)), seen, parts, width
 
 
 def _prefix_pairs(index: _Index, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of members (node, root): candidates (a, b) of different components, and links (a, b) that are confirmed already."""
     sets = index.sets(members.select("node"))
 
-    often, seen, parts = _frequent(sets)
+    often, seen, parts, width = _frequent(sets)
     held = members.sparkSession.sparkContext.broadcast((often, seen))
 
     def run(batches):
@@ -229,7 +261,7 @@ def _prefix_pairs(index: _Index, members: DataFrame) -> tuple[DataFrame, DataFra
                 x = np.frombuffer(raw.as_py(), "<u8")
                 late = np.isin(x, often)
                 first = np.concatenate((x[~late], x[late]))[: len(x) + NUM * len(x) // -DEN + 1]
-                at = _bit(first, parts).astype(np.int64)
+                at = _bit(first, parts, width).astype(np.int64)
                 first = first[seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1]
                 node += [who.as_py()] * len(first)
                 shingle.append(first.view("<i8"))
@@ -248,52 +280,82 @@ def _prefix_pairs(index: _Index, members: DataFrame) -> tuple[DataFrame, DataFra
     return pairs, _family_links(cut(components(ties), "families").withColumnRenamed("root", "family"), members, sets)
 
 
+def _links_within(table: pa.Table) -> pa.Table:
+    """(a, b) of a task's (node, root, set): enough links between components to join all that belong together."""
+    node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
+    held = [np.frombuffer(x.as_py(), "<u8") for x in table.column("set")]
+    n, size = len(node), np.array([len(x) for x in held])
+    shingle, row = np.concatenate(held), np.repeat(np.arange(n), size)
+    order = np.argsort(shingle, kind="stable")
+    shingle, row = shingle[order], row[order]
+    same = shingle[1:] == shingle[:-1]
+    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))  # others meet nothing
+    shingle, row = shingle[shared], row[shared]
+    column = np.concatenate(([0], np.cumsum(shingle[1:] != shingle[:-1])))[: len(row)]
+    both = np.zeros((n, n), np.float32)
+    at = 0
+    while at < len(row):
+        end = np.searchsorted(column, column[at] + COLUMNS)
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[at:end], column[at:end] - column[at]] = 1
+        both += m @ m.T
+        at = end
+    linked = DEN * both.astype(np.int64) >= NUM * (size[:, None] + size[None, :] - both.astype(np.int64))
+    group = {r: i for i, r in enumerate(dict.fromkeys(root))}
+    mine = np.array([group[r] for r in root])
+    p, q = np.nonzero(np.triu(linked & (mine[:, None] != mine[None, :]), 1))
+    up = list(range(len(group)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    out = []
+    for i, j in zip(p.tolist(), q.tolist(), strict=True):
+        u, v = find(mine[i]), find(mine[j])
+        if u != v:
+            up[u] = v
+            out.append((node[i], node[j]))
+    return pa.table([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["a", "b"])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(family, node, n, ...) with each family's number of blocks, and the block that the row is dealt to."""
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    many = cut(rows.groupBy("family").agg(size.cast("int").alias("blocks")), "dealt")
+    return rows.join(many, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
 def _family_links(families: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between components within families (node, family), enough of them to join all that belong together."""
-    dealt = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = families.join(cut(dealt, "dealt"), "family").join(members, "node").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j"))))
-    rows = rows.select("family", meets.alias("m"), "block", "node", "root", "set").select("family", "m.i", "m.j", "block", "node", "root", "set")
-
-    def run(table: pa.Table) -> pa.Table:
-        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
-        held = [np.frombuffer(x.as_py(), "<u8") for x in table.column("set")]
-        n, size = len(node), np.array([len(x) for x in held])
-        shingle, row = np.concatenate(held), np.repeat(np.arange(n), size)
-        order = np.argsort(shingle, kind="stable")
-        shingle, row = shingle[order], row[order]
-        same = shingle[1:] == shingle[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))  # others meet nothing
-        shingle, row = shingle[shared], row[shared]
-        column = np.concatenate(([0], np.cumsum(shingle[1:] != shingle[:-1])))[: len(row)]
-        both = np.zeros((n, n), np.float32)
-        at = 0
-        while at < len(row):
-            end = np.searchsorted(column, column[at] + COLUMNS)
-            m = np.zeros((n, COLUMNS), np.float32)
-            m[row[at:end], column[at:end] - column[at]] = 1
-            both += m @ m.T
-            at = end
-        linked = DEN * both.astype(np.int64) >= NUM * (size[:, None] + size[None, :] - both.astype(np.int64))
-        group = {r: i for i, r in enumerate(dict.fromkeys(root))}
-        mine = np.array([group[r] for r in root])
-        p, q = np.nonzero(np.triu(linked & (mine[:, None] != mine[None, :]), 1))
-        up = list(range(len(group)))
-
-        def find(i: int) -> int:
-            while up[i] != i:
-                up[i] = i = up[up[i]]
-            return i
-
-        out = []
-        for i, j in zip(p.tolist(), q.tolist(), strict=True):
-            u, v = find(mine[i]), find(mine[j])
-            if u != v:
-                up[u] = v
-                out.append((node[i], node[j]))
-        return pa.table([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["a", "b"])
-
-    return cut(rows.groupBy("family", "i", "j").applyInArrow(run, "a binary, b binary"), "family-links")
+    sized = sets.select("node", "n")
+    rows = cut(_dealt(families.join(members, "node").join(sized, "node")), "blocks")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        held = pairs.join(sets.select("node", "set"), "node")
+        return cut(held.groupBy("family", "kind", "i", "j").applyInArrow(_links_within, "a binary, b binary"), "family-links")
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.transform(every, lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
+    pivots = F.filter(own, lambda m: (F.col("blocks") <= DIRECT) | (m.i == 0))
+    links = compared(rows.select("family", F.explode(pivots).alias("m"), "node", "root").select("family", F.lit("first").alias("kind"), "m.i", "m.j", "node", "root"))
+    large = rows.where(F.col("blocks") > DIRECT)
+    if large.isEmpty():
+        return links
+    merged = cut(components(large.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "merged").withColumnRenamed("root", "now")
+    rows = cut(large.join(merged, "node", "left").select("family", "node", "n", F.coalesce("now", "root").alias("root")), "merged-rows")
+    sizes = rows.groupBy("family", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = cut(sizes.groupBy("family").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("family", F.col("m.root").alias("main")), "main")
+    open_ = rows.join(main, "family")
+    rest = cut(_dealt(open_.where("root <> main").drop("main")), "rest")
+    base = cut(_dealt(open_.where("root = main").drop("main")), "base")
+    many, wide = (x.groupBy("family").agg(F.max("blocks").alias("other")) for x in (rest, base))
+    others = F.explode(F.sequence(F.lit(0), F.col("other") - 1))
+    within = rest.select("family", F.lit("rest").alias("kind"), F.explode(own).alias("m"), "node", "root").select("family", "kind", "m.i", "m.j", "node", "root")
+    across = rest.join(cut(wide, "wide"), "family").select("family", F.lit("main").alias("kind"), F.col("block").alias("i"), others.alias("j"), "node", "root")
+    against = base.join(cut(many, "many"), "family").select("family", F.lit("main").alias("kind"), others.alias("i"), F.col("block").alias("j"), "node", "root")
+    return links.unionByName(compared(within.unionByName(across).unionByName(against)))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
