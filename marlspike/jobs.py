@@ -12,7 +12,6 @@ from marlspike.operators import checks as C
 from marlspike.operators import evaluation as E
 from marlspike.operators import ingest as G
 from marlspike.plans import evaluation as PE
-from marlspike.plans import tables as t
 from marlspike.sources import files
 
 

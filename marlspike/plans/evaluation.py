@@ -251,6 +251,12 @@ def index_agreement(spark, sf_dir):
     return E.index_agrees(gold, spark.range(1).select(F.sha2(F.lit("corpus"), 256).alias("doc_sha")))
 
 
+@query(GRADED + " SELECT doc_id, answer_class FROM g WHERE answer_class IN ('forbidden', 'unstated')")
+def strata_rows(spark, sf_dir):
+    """All rows of the chosen strata: what a run without a limit works on."""
+    return _graded(spark, sf_dir).where(F.col("answer_class").isin("forbidden", "unstated")).select("doc_id", "answer_class")
+
+
 @query(GRADED + " SELECT doc_id, answer_class FROM g WHERE answer_class IN ('forbidden', 'unstated') ORDER BY doc_id LIMIT 25")
 def strata_selection(spark, sf_dir):
     """Chosen strata, and the first 25 rows of them: a run's own limit."""

@@ -233,6 +233,7 @@ def test_message_stream_equals_batch(spark, tmp_path):
     random.seed(6)
     kinds = ["text", "text", "thinking", "stage", "citation", "trace", "usage", "web_error", "error"]
     frames = [(m, i, random.choice(kinds), f"v{m}.{i} ") for i in range(12) for m in range(4)] + [(m, 12, "done", "") for m in range(4)]
+    frames = [(m, i, e, None if e in ("text", "stage", "web_error") and (m + i) % 5 == 0 else v) for m, i, e, v in frames]
     df = spark.createDataFrame(frames, "mid long, seq long, event string, value string")
     for i in range(0, len(frames), 18):
         spark.createDataFrame(frames[i : i + 18], df.schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i:02}"))
