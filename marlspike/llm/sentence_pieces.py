@@ -175,7 +175,7 @@ class Encoder:
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
     def packed(self, segment: str) -> bytes:
-        return self._alone(segment) if len(segment) > LONG else self._together([segment])[0]
+        return self._alone(segment)
 
     def _alone(self, segment: str) -> bytes:
         """``_together`` of one segment, step by step: what long ones take, where arrays over one row would be slow."""
@@ -291,8 +291,8 @@ class Encoder:
         for segments in cut_up:
             try:
                 got = b"".join(map(memo.get, segments))
-            except TypeError:  # segments that the memo doesn't take, or that it has forgotten since
-                got = b"".join([memo.get(x) or self.packed(x) for x in segments])
+            except TypeError:  # segments that the memo doesn't take, or that are in its old generation by now
+                got = b"".join([memo[x] if len(x) <= LONG else self._alone(x) for x in segments])
             ids = np.frombuffer(got, np.int32)
             out.append((ids, float(self.scores[ids].sum())))
         return out
