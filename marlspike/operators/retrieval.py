@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,13 +23,15 @@ RRF_K = 60
 PER_ARM = 40
 EXPANDED = 14
 WEAK = 0.02
-#: Postings of a query's strongest terms, as a multiple of k, that give the first bound of its k best scores.
-SEEDS = 16
-#: By how much a bound may be off: scores are rounded to 6 digits.
+#: By how much a score may be below what it is rounded to, at 6 digits.
 MARGIN = 2e-6
+#: Pairs of a query and one of its terms that are held at once by the lexical arm.
+PAIRS = 1 << 20
+#: Scores, and parts of them, that a task of the lexical arm adds up at once.
+CELLS = 1 << 20
 #: Query vectors that are held at once by the dense arm.
 BLOCK = 4096
-#: Vectors that are multiplied by a block at once.
+#: Vectors that are multiplied by a block at once, and chunks whose terms are counted at once.
 ROWS = 1024
 
 
@@ -85,29 +88,133 @@ def bm25(chunks: DataFrame | Lexical, queries: DataFrame) -> DataFrame:
     return indexed(chunks).parts(asked).join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def bm25_top(chunks: DataFrame | Lexical, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): the k best of ``bm25``, exactly, without scoring every chunk that shares a term.
+def bm25_top(chunks: DataFrame | Lexical, queries: DataFrame, k: int, pairs: int = PAIRS) -> DataFrame:
+    """(qid, id, score, rank): the k best of ``bm25``, exactly, without a row for each chunk that shares a term with a query.
 
-    A query's strongest terms, by the most that one adds to any score, give a bound: the k-th best score by these alone. Terms
-    that together can't reach it, the weakest, find no chunk; they only complete the scores of chunks that the others found
-    and that can still reach it. So the postings of frequent terms are not met by every query that has them.
+    Queries go out in blocks of about ``pairs`` distinct (qid, term), whatever their number: one block is on the driver at a time,
+    and its best are written before the next one. A block's terms in the corpus are counted and written as numbers; a task then adds
+    up the scores of some of its chunks at a time and hands on its k best per query, so what is shuffled is k rows per query and task.
+    Chunks that repeat an id are merged by their terms first, as ``bm25`` does, on the way that shuffles all scores.
     """
-    asked = cut(asked_terms(queries), "asked")
-    post = cut(indexed(chunks).parts(asked), "postings")
-    most = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
-    terms = cut(asked.join(most, "term"), "terms")
-    strong = Window.partitionBy("qid").orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = terms.withColumn("_n", F.coalesce(F.sum("df").over(strong), F.lit(0))).where(F.col("_n") < SEEDS * k).select("qid", "term")
-    first = top(post.join(seeds, "term").groupBy("qid", "id").agg(F.sum("part").alias("score")), k, F.desc("score"), F.col("id"))
-    bound = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("bound"))
-    weak = Window.partitionBy("qid").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    terms = cut(terms.join(bound, "qid").withColumn("finds", F.sum("most").over(weak) + MARGIN >= F.col("bound")), "bounded")
-    found = post.join(terms.where("finds").select("qid", "term"), "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
-    left = terms.groupBy("qid", "bound").agg(F.coalesce(F.sum(F.when(~F.col("finds"), F.col("most"))), F.lit(0.0)).alias("left"))
-    found = cut(found.join(left, "qid").where(F.col("score") + F.col("left") + MARGIN >= F.col("bound")).select("qid", "id", "score"), "found")
-    more = found.select("qid", "id").join(terms.where("NOT finds").select("qid", "term"), "qid").join(post, ["id", "term"]).select("qid", "id", F.col("part").alias("score"))
-    scores = found.unionByName(more).groupBy("qid", "id").agg(F.round(F.sum("score"), 6).alias("score"))
-    return top(scores, k, F.desc("score"), F.col("id"))
+    asked = cut(asked_terms(queries).distinct(), "asked")
+    blocks = max(1, -(-asked.count() // pairs))
+    docs = chunks.docs if isinstance(chunks, Lexical) else tokenized(chunks) if blocks == 1 else Lexical(chunks).docs
+    parts = []
+    for i in range(blocks):
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        found = _lexical_block(docs, mine, k)
+        if found is None:
+            return top(bm25(chunks, queries), k, F.desc("score"), F.col("id"))
+        best = top(found, k, F.desc("score"), F.col("id"))
+        parts.append(best if blocks == 1 else cut(best, "block"))
+    return stacked(*parts)
+
+
+def _lexical_block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
+    """(qid, id, score) of each task's k best per query of ``asked`` (qid, term), distinct; None if ``docs`` (id, terms) repeat an id."""
+    spark = docs.sparkSession
+    rows = asked.toArrow()
+    words, qids = (pc.unique(rows.column(c).combine_chunks()) for c in ("term", "qid"))
+    term, who = (pc.index_in(rows.column(c).combine_chunks(), value_set=v).to_numpy(zero_copy_only=False).astype(np.int64) for c, v in (("term", words), ("qid", qids)))
+    asks = who[np.argsort(term, kind="stable")].astype(np.int32)  # the queries of each term, one term after the other
+    at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(words)))))
+    vocabulary = spark.sparkContext.broadcast(words)
+
+    def counted(batches):
+        words = vocabulary.value
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            lists = b.column(1)
+            found = pc.index_in(lists.flatten(), value_set=words)
+            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            key = owner * max(1, len(words)) + pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+            key, tf = np.unique(key[pc.is_valid(found).to_numpy(zero_copy_only=False)], return_counts=True)
+            doc, word = np.divmod(key, max(1, len(words)))
+            ends = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pc.list_value_length(lists), pa.ListArray.from_arrays(ends, pa.array(word, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=["id", "len", "word", "tf"]
+            )
+
+    kind, asker = (df.schema[c].dataType.simpleString() for df, c in ((docs, "id"), (asked, "qid")))
+    post = cut(docs.select("id", "terms").mapInArrow(counted, f"id {kind}, len int, word array<int>, tf array<int>"), "counted")
+    if post.groupBy("id").count().where("count > 1").limit(1).count():
+        return None
+    n, avg_len = post.agg(F.count(F.lit(1)), F.avg("len")).first()
+
+    def chunks_with(batches):
+        df = np.zeros(len(at) - 1, np.int64)
+        for b in batches:
+            df += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(df))
+        has = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(df[has])], names=["word", "df"])
+
+    have = post.select("word").mapInArrow(chunks_with, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(words))
+    df[have.column("word").to_numpy()] = have.column("df").to_numpy()
+    idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5) + 1), IDF_FLOOR)
+    held = spark.sparkContext.broadcast((asks, at, idf, qids))
+
+    def scored(batches):
+        asks, at, idf, qids = held.value
+        best = Best(len(qids), k)
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            size = b.column(1).to_numpy(zero_copy_only=False)
+            owner, word, tf = pc.list_parent_indices(b.column(2)).to_numpy(zero_copy_only=False), b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(3).flatten().to_numpy(zero_copy_only=False)
+            part = idf[word] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size[owner] / (avg_len if avg_len and avg_len > 0 else 1)))
+            times = at[word + 1] - at[word]
+            ends = np.concatenate(([0], np.cumsum(times)))
+            first = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            lo = 0
+            while lo < b.num_rows and len(qids):  # as many chunks as fit into CELLS, one at least
+                hi = int(np.searchsorted(ends[first], ends[first[lo]] + CELLS, "right")) - 1
+                hi = max(lo + 1, min(hi, b.num_rows, lo + CELLS // len(qids)))
+                p, q = first[lo], first[hi]
+                t = times[p:q]
+                of = np.repeat(at[word[p:q]] - ends[p:q], t) + np.arange(ends[p], ends[q])
+                cell = asks[of] * np.int64(hi - lo) + np.repeat(owner[p:q] - lo, t)
+                s = np.bincount(cell, np.repeat(part[p:q], t), len(qids) * (hi - lo)).reshape(len(qids), hi - lo)
+                best.add(s, b.column(0).slice(lo, hi - lo))
+                lo = hi
+        yield from best.batches(qids)
+
+    return post.mapInArrow(scored, f"qid {asker}, id {kind}, score double")
+
+
+class Best:
+    """The k best (score, then the smaller id) per query of what is added; scores are rounded, and 0 is no hit."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least, self.n = k, np.full(queries, -np.inf), 0
+        self.pool: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.most = max(4 * queries * k, CELLS // 8)
+
+    def add(self, scores: np.ndarray, ids: pa.Array) -> None:
+        """scores: a row per query, a column per id."""
+        q, d = np.nonzero((scores > 0) & (scores + MARGIN >= self.least[:, None]))
+        s = np.round(scores[q, d], 6)
+        q, d, s = (x[s >= self.least[q]] for x in (q, d, s))
+        self.pool.append((q, s, ids.take(pa.array(d))))
+        self.n += len(q)
+        if self.n > self.most:
+            self.shrink()
+
+    def shrink(self) -> None:
+        q, s = (np.concatenate([x[i] for x in self.pool]) for i in (0, 1))
+        ids = pa.concat_arrays([x[2] for x in self.pool])
+        place = np.empty(len(q), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(q))
+        order = np.lexsort((place, -s, q))
+        nth = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        order = order[nth < self.k]
+        q, s = q[order], s[order]
+        full = np.flatnonzero(np.bincount(q, minlength=len(self.least)) == self.k)
+        self.least[full] = s[np.searchsorted(q, full, "right") - 1]
+        self.pool, self.n = [(q, s, ids.take(pa.array(order)))], len(q)
+
+    def batches(self, qids: pa.Array):
+        if self.pool:
+            self.shrink()
+            q, s, ids = self.pool[0]
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids, pa.array(s)], names=["qid", "id", "score"])
 
 
 def of_types(wide: DataFrame, chunks: DataFrame, types: list[str], k: int = PER_ARM) -> DataFrame:

@@ -17,6 +17,9 @@ from marlspike.streaming import events as V
 from marlspike.streaming import limits as L
 
 
+WORDS = [f"word{i}" for i in range(40)]
+
+
 def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]
 
@@ -295,6 +298,39 @@ def test_pruned_ranking_is_exact(spark):
         assert rows(R.bm25_top(index, asked, k).select("qid", "rank", "id", "score")) == want
 
 
+def test_ranking_shares_no_rows_of_pairs(spark, monkeypatch):
+    """Long questions that share most of their terms with most chunks: nothing is written or shuffled that has a row per pair."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(WORDS) for _ in range(r.randint(20, 60))) for _ in range(200)]
+    chunks = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(texts)] + [("none", None)], "id string, content string")
+    asked = chunks.where("id <> 'c7'").select(F.col("id").alias("qid"), F.col("content").alias("question"))
+    want = rows(R.top(R.bm25(chunks, asked), 4, F.desc("score"), F.col("id")).select("qid", "rank", "id", "score"))
+    most, pairs = [], R.asked_terms(asked).count()
+
+    def counted(df, name="cut", cut=R.cut):
+        out = cut(df, name)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "cut", counted)
+    assert rows(R.bm25_top(chunks, asked, 4).select("qid", "rank", "id", "score")) == want
+    assert max(most) <= max(pairs, len(texts) + 1) < 199 * 200 / 4
+    assert rows(R.bm25_top(chunks, asked, 4, pairs=500).select("qid", "rank", "id", "score")) == want
+    assert R.bm25_top(chunks, asked.where("qid = 'none'"), 4).count() == 0 == R.bm25_top(chunks.limit(0), asked, 4).count()
+
+
+def test_ranking_of_repeated_ids_and_ties(spark, monkeypatch):
+    texts = [(5, "gold card"), (5, "gold card card"), (6, "wolf"), *((i, "gold wolf") for i in range(40, 10, -1))]
+    chunks = spark.createDataFrame(texts, "id int, content string")
+    asked = spark.createDataFrame([(1, "gold"), (2, "gold card wolf"), (2, "gold")], "qid int, question string")
+    once = asked.limit(2)
+    want = rows(R.top(R.bm25(chunks, once), 3, F.desc("score"), F.col("id")).select("qid", "rank", "id", "score"))
+    assert rows(R.bm25_top(chunks, once, 3).select("qid", "rank", "id", "score")) == want
+    monkeypatch.setattr(R, "CELLS", 16)
+    tied = R.bm25_top(chunks.where("id > 6"), asked, 3).orderBy("qid", "rank").collect()
+    assert [(x["qid"], x["id"]) for x in tied] == [(q, i) for q in (1, 2) for i in (11, 12, 13)]
+
+
 def test_files_are_written_and_read(spark, tmp_path):
     chunks = spark.createDataFrame([(1,), (2,)], "id long")
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5])], "id long, vector array<float>")
