@@ -395,9 +395,15 @@ def weak_evidence(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.select("qid", "shape").join(best, "qid", "left").select("qid", "shape", ((F.col("shape") == "prohibition") | (F.coalesce("score", F.lit(0.0)) < WEAK)).alias("attach"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` with so many decimals, halves of its product with a power of ten away from zero: what prints as a half may be less in binary."""
+    y = F.abs(x) * 10.0**digits
+    return F.signum(x) * (F.floor(y) + (y - F.floor(y) >= 0.5).cast("int")) / 10.0**digits
+
+
 def trace(ranked: DataFrame, digits: int, most: int = 12) -> DataFrame:
     """(qid, entries): the first ``most`` rows of a ranking as id:rank:score."""
-    cut = ranked.where(F.col("rank") <= most).withColumn("s", F.round("score", digits))
+    cut = ranked.where(F.col("rank") <= most).withColumn("s", rounded(F.col("score"), digits))
     return cut.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id", "s"))), lambda x: F.concat_ws(":", x.id, x.rank, F.format_number(x.s, digits))), " ").alias("entries"))
 
 

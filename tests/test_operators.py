@@ -298,6 +298,17 @@ def test_pruned_ranking_is_exact(spark):
         assert rows(R.bm25_top(index, asked, k).select("qid", "rank", "id", "score")) == want
 
 
+def test_traced_scores_are_rounded_as_by_sql(spark):
+    import duckdb
+
+    for digits in (4, 5):
+        scores = [sign * (i * 10 + 5) / 10 ** (digits + 1) for i in range(4000) for sign in (1, -1)] + [0.0, -1e-6, 1.0]
+        df = spark.createDataFrame([(q, x, 1, q) for q, x in enumerate(scores)], "qid int, score double, rank int, id int")
+        got = {r["qid"]: r["entries"].split(":")[2] for r in R.trace(df, digits).collect()}
+        want = duckdb.execute(f"SELECT list(format('{{:.{digits}f}}', round(x, {digits}))) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [scores]).fetchone()[0]
+        assert [got[q] for q in range(len(scores))] == want
+
+
 def test_ranking_shares_no_rows_of_pairs(spark, monkeypatch):
     """Long questions that share most of their terms with most chunks: nothing is written or shuffled that has a row per pair."""
     r = random.Random(9)
