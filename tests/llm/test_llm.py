@@ -814,6 +814,17 @@ def test_induction_decides_without_hints(spark):
     assert sum(got[k] == t for k, t in want.items()) >= 0.9 * len(want)
 
 
+def test_all_pages_of_a_host_shape_its_wrapper(spark):
+    """A notice within the text on three fifths of a host's pages, none of them among the first by the hash of their html, is template."""
+    notice = "<section>Our shop is closed on Sundays</section>"
+    both = [(i, with_it, f"<body><div><p>Text {i} of {i * 7}</p>{notice if with_it else ''}<p>More on {i} and {i + 3}</p></div></body>") for i in range(200) for with_it in (True, False)]
+    hashed = spark.createDataFrame(both, "i int, with_it boolean, html string").withColumn("h", F.xxhash64(F.xxhash64("html")))
+    kept = hashed.where("with_it = (h > 0)").dropDuplicates(["i"])
+    pages = kept.where("with_it").orderBy("i").limit(30).unionByName(kept.where("NOT with_it").orderBy("i").limit(20))
+    texts = {r["page_id"]: r["text"] for r in W.extract(pages.select(F.col("i").alias("page_id"), F.lit("http://shop.example/x").alias("url"), "html")).collect()}
+    assert texts == {i: f"Text {i} of {i * 7}\nMore on {i} and {i + 3}" for i in texts} and len(texts) == 50
+
+
 def test_small_hosts_have_wrappers(spark):
     r = random.Random(27)
     rows, want = [], {}
