@@ -369,17 +369,21 @@ def rule_floor(fused: DataFrame, options: DataFrame) -> DataFrame:
 def section_complete(selected: DataFrame, chunks: DataFrame, options: DataFrame) -> DataFrame:
     """Selected rows, and for queries that want it all non-cards of the seed's section behind them, with score 0.
 
-    The seed is the best non-card, or the best row if there is none. At most max(k, 14) rows stay. selected (qid, id, score,
-    rank), chunks (id, ordinal, doc_type, path), options (qid, k, section_complete).
+    The seed is the best non-card, or the best row if there is none. At most max(k, 14) rows stay. Of a section only its first
+    rules meet the queries: as many as may be missing, and as many as a query may have already. selected (qid, id, score, rank),
+    chunks (id, ordinal, doc_type, path), options (qid, k, section_complete).
     """
     info = chunks.select("id", "ordinal", "doc_type", T.section_prefix(F.col("path")).alias("prefix"))
-    want = options.where("section_complete").select("qid", "k")
+    want = options.where("section_complete").select("qid", (F.greatest("k", F.lit(EXPANDED))).alias("most"))
     rows = selected.select("qid", "id", "score", "rank")
     known = rows.join(info.select("id", "doc_type", "prefix"), "id")
-    seed = known.groupBy("qid").agg(F.min_by("prefix", F.struct((F.coalesce("doc_type", F.lit("")) == "cards").alias("card"), F.col("rank"))).alias("prefix"), F.max("rank").alias("last"))
+    seed = known.groupBy("qid").agg(F.min_by("prefix", F.struct((F.coalesce("doc_type", F.lit("")) == "cards").alias("card"), F.col("rank"))).alias("prefix"), F.max("rank").alias("last"), F.count(F.lit(1)).alias("held"))
+    seed = cut(seed.join(want, "qid"), "seed")
+    reach = seed.agg(F.max(F.col("most") - F.col("last") + F.col("held"))).first()[0] or 0
     rules = info.where(F.coalesce("doc_type", F.lit("")) != "cards").select("id", "ordinal", "prefix")
-    more = seed.join(want, "qid").join(rules, "prefix").join(rows.select("qid", "id"), ["qid", "id"], "left_anti")
-    more = more.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("ordinal"))).where(F.col("last") + F.col("n") <= F.greatest("k", F.lit(EXPANDED)))
+    rules = top(rules, reach, F.col("ordinal"), F.col("id"), by=("prefix",), rank="nth").drop("nth")
+    more = seed.drop("held").join(rules, "prefix").join(rows.select("qid", "id"), ["qid", "id"], "left_anti")
+    more = more.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("ordinal", "id"))).where(F.col("last") + F.col("n") <= F.col("most"))
     more = more.select("qid", "id", F.lit(0.0).alias("score"), (F.col("last") + F.col("n")).alias("rank"), F.lit(True).alias("sibling"))
     return stacked(rows.withColumn("sibling", F.lit(False)), more)
 

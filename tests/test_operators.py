@@ -342,6 +342,28 @@ def test_ranking_of_repeated_ids_and_ties(spark, monkeypatch):
     assert [(x["qid"], x["id"]) for x in tied] == [(q, i) for q in (1, 2) for i in (11, 12, 13)]
 
 
+def test_section_meets_queries_by_its_first_rules_only(spark):
+    """Large sections: what is joined with the queries is limited per section, and what comes out is the same."""
+    r = random.Random(4)
+    kinds = {i: r.choice(["cards", "rulebook", "rulebook", None]) for i in range(300)}
+    chunks = spark.createDataFrame([(i, 1000 - i, kinds[i], ["a", f"s{i % 3}", str(i)]) for i in range(300)], "id long, ordinal long, doc_type string, path array<string>")
+    picks = {q: r.sample(range(305), r.randint(1, 18)) for q in range(40)} | {50: list(range(299, 269, -3)), 51: [999]}  # 50: the first of a section
+    selected = spark.createDataFrame([(q, i, 0.5, n + 1) for q, ids in picks.items() for n, i in enumerate(ids)], "qid long, id long, score double, rank int")
+    options = {q: (r.choice([8, 10, 20]), q == 50 or r.random() < 0.7) for q in picks}
+    got = R.section_complete(selected, chunks, spark.createDataFrame([(q, *o) for q, o in options.items()], "qid long, k int, section_complete boolean"))
+    want = []
+    for q, ids in picks.items():
+        want += [(q, i, 0.5, n + 1, False) for n, i in enumerate(ids)]
+        known = [(kinds[i] == "cards", n + 1, i) for n, i in enumerate(ids) if i in kinds]
+        if known and options[q][1]:
+            last, seed = max(n for _, n, _ in known), min(known)[2]
+            more = [i for i in range(299, -1, -1) if i % 3 == seed % 3 and kinds[i] != "cards" and i not in ids]
+            want += [(q, i, 0.0, last + n + 1, True) for n, i in enumerate(more) if last + n + 1 <= max(options[q][0], 14)]
+    assert rows(got.select("qid", "id", "score", "rank", "sibling"), "qid", "rank", "sibling") == sorted(want, key=lambda x: (x[0], x[3], x[4]))
+    assert "WindowGroupLimit [prefix" in got._jdf.queryExecution().executedPlan().toString()
+    assert R.section_complete(selected.limit(0), chunks, spark.createDataFrame([(1, 8, True)], "qid long, k int, section_complete boolean")).count() == 0
+
+
 def test_files_are_written_and_read(spark, tmp_path):
     chunks = spark.createDataFrame([(1,), (2,)], "id long")
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5])], "id long, vector array<float>")
