@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +58,49 @@ def terms(s: Column) -> Column:
     return F.filter(bare, lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
+#: By byte: 1 for what a term begins with, 2 for what it may end with besides, 3 for what it may have inside.
+TERM_BYTES = np.array([1 if chr(i) in "abcdefghijklmnopqrstuvwxyz0123456789" else 2 if i == ord("+") else 3 if chr(i) in ".-" else 0 for i in range(256)], np.uint8)
+
+
+def split_terms(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What ``terms`` gives for lower-cased texts, one text after the other, and the number of each term's text. By bytes: those of
+    other characters than ASCII's are above it."""
+    texts = pc.fill_null(lowered, "")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, wide)
+    n = int(ends[-1] - ends[0])
+    if n == 0:
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = (ends - ends[0]).astype(np.int64)
+    kind = TERM_BYTES[data]
+    edge = np.zeros(n + 1, bool)
+    edge[ends] = True
+
+    def begins(x):
+        return np.flatnonzero(x & (edge[:-1] | ~np.concatenate(([False], x[:-1]))))
+
+    def stops(x):
+        return np.flatnonzero(x & (edge[1:] | ~np.concatenate((x[1:], [False])))) + 1
+
+    run = kind > 0
+    lo, hi = begins(run), stops(run)
+    first, last = begins(kind == 1), stops((kind == 1) | (kind == 2))
+    if not len(first):
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    lo = np.append(first, n)[np.searchsorted(first, lo)]
+    has = lo < hi
+    lo, hi = lo[has], hi[has]
+    hi = last[np.searchsorted(last, hi, "right") - 1]
+    step = np.zeros(n + 1, np.int8)
+    step[lo] += 1
+    step[hi] -= 1
+    offsets = np.concatenate(([0], np.cumsum(hi - lo)))
+    bare = pa.LargeStringArray.from_buffers(len(lo), pa.py_buffer(offsets), pa.py_buffer(data[np.cumsum(step[:-1], dtype=np.int8) > 0]))
+    kept = pc.invert(pc.is_in(bare, value_set=pa.array(STOPWORDS, pa.large_string())))
+    return bare.filter(kept).cast(pa.string()), (np.searchsorted(ends, lo, "right") - 1)[kept.to_numpy(zero_copy_only=False)]
+
+
 def keywords(s: Column) -> Column:
     """Terms of the keyword baseline: letters and digits, three at least."""
     raw = F.split(F.regexp_replace(F.lower(s), r"[^a-z0-9\s]", " "), r"\s+")

@@ -31,8 +31,9 @@ PAIRS = 1 << 20
 CELLS = 1 << 20
 #: Query vectors that are held at once by the dense arm.
 BLOCK = 4096
-#: Vectors that are multiplied by a block at once, and chunks whose terms are counted at once.
+#: Vectors that are multiplied by a block at once, and chunks whose terms are counted at once, unless their texts have more bytes.
 ROWS = 1024
+BYTES = 1 << 23
 
 
 def top(df: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("qid",), rank: str = "rank") -> DataFrame:
@@ -98,7 +99,9 @@ def bm25_top(chunks: DataFrame | Lexical, queries: DataFrame, k: int, pairs: int
     """
     asked = cut(asked_terms(queries).distinct(), "asked")
     blocks = max(1, -(-asked.count() // pairs))
-    docs = chunks.docs if isinstance(chunks, Lexical) else tokenized(chunks) if blocks == 1 else Lexical(chunks).docs
+    docs = chunks.docs.select("id", "terms") if isinstance(chunks, Lexical) else chunks.select("id", F.lower("content").alias("text"))
+    if blocks > 1 and not isinstance(chunks, Lexical):
+        docs = cut(docs, "texts")
     parts = []
     for i in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
@@ -111,7 +114,7 @@ def bm25_top(chunks: DataFrame | Lexical, queries: DataFrame, k: int, pairs: int
 
 
 def _lexical_block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
-    """(qid, id, score) of each task's k best per query of ``asked`` (qid, term), distinct; None if ``docs`` (id, terms) repeat an id."""
+    """(qid, id, score) of each task's k best per query of ``asked`` (qid, term), distinct; None if ``docs`` (id, and terms or the lower-cased text) repeat an id."""
     spark = docs.sparkSession
     rows = asked.toArrow()
     words, qids = (pc.unique(rows.column(c).combine_chunks()) for c in ("term", "qid"))
@@ -122,20 +125,24 @@ def _lexical_block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame | Non
 
     def counted(batches):
         words = vocabulary.value
-        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            lists = b.column(1)
-            found = pc.index_in(lists.flatten(), value_set=words)
-            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        for b in (p for b in batches for p in pieces(b)):
+            texts = b.column(1)
+            if pa.types.is_list(texts.type) or pa.types.is_large_list(texts.type):
+                found, owner, size = texts.flatten(), pc.list_parent_indices(texts).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(texts)
+            else:
+                found, owner = T.split_terms(texts)
+                size = pa.array(np.bincount(owner, minlength=b.num_rows), pa.int32(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+            found = pc.index_in(found, value_set=words)
             key = owner * max(1, len(words)) + pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
             key, tf = np.unique(key[pc.is_valid(found).to_numpy(zero_copy_only=False)], return_counts=True)
             doc, word = np.divmod(key, max(1, len(words)))
             ends = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pc.list_value_length(lists), pa.ListArray.from_arrays(ends, pa.array(word, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=["id", "len", "word", "tf"]
+                [b.column(0), size, pa.ListArray.from_arrays(ends, pa.array(word, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=["id", "len", "word", "tf"]
             )
 
     kind, asker = (df.schema[c].dataType.simpleString() for df, c in ((docs, "id"), (asked, "qid")))
-    post = cut(docs.select("id", "terms").mapInArrow(counted, f"id {kind}, len int, word array<int>, tf array<int>"), "counted")
+    post = cut(docs.mapInArrow(counted, f"id {kind}, len int, word array<int>, tf array<int>"), "counted")
     if post.groupBy("id").count().where("count > 1").limit(1).count():
         return None
     n, avg_len = post.agg(F.count(F.lit(1)), F.avg("len")).first()
@@ -179,6 +186,17 @@ def _lexical_block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame | Non
     return post.mapInArrow(scored, f"qid {asker}, id {kind}, score double")
 
 
+def pieces(batch: pa.RecordBatch):
+    """Slices of a batch of up to ROWS rows; fewer, down to one, where its second column has more than BYTES of text."""
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, ROWS)
+        while part.num_rows > 1 and part.column(1).nbytes > BYTES:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        at += part.num_rows
+
+
 class Best:
     """The k best (score, then the smaller id) per query of what is added; scores are rounded, and 0 is no hit."""
 

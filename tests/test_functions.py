@@ -96,3 +96,19 @@ def test_wilson_and_mcnemar_by_formula(spark, pairs):
             assert r.lo - 1e-9 <= r.a / r.n <= r.hi + 1e-9
         tail = sum(math.comb(r.n, i) for i in range(min(r.a, r.b) + 1)) / 2**r.n
         assert r.p == pytest.approx(min(1, 2 * tail) if r.n else 1)
+
+
+def test_terms_split_by_bytes_are_those_of_the_column(spark):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    odd = [None, "", "c++", "+c.", "++", "-.", ".a", "a.", "b-", "1.5-2+", "-+-", "The", "the", "K+", "İx", "été", "x\U0001f600y", " ", "is. it", "a--b", "z.+", "z+."]
+    texts = odd + ["".join(r.choice(["a", "B", "9", ".", "+", "-", "--", " ", "\n", "of", "ß", "İ", "中"]) for _ in range(r.randint(0, 40))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").select("id", F.lower("s").alias("low"), T.terms(F.col("s")).alias("ts")).orderBy("id").collect()
+    for kind in (pa.string(), pa.large_string()):
+        for low, want in ((df, df), (df[7:7], []), (df[5:30], df[5:30]), (df[:2], df[:2])):
+            lowered = pa.array([None] * 3 + [x["low"] for x in low] + ["tail"], kind).slice(3, len(low))
+            words, owner = T.split_terms(lowered)
+            assert list(zip(owner.tolist(), words.to_pylist())) == [(i, t) for i, x in enumerate(want) for t in x["ts"] or []]
