@@ -864,3 +864,44 @@ def test_merged_reference():
     tree = W.merged([stub, full])
     assert len(tree) == len(full) and [n[0] for n in tree] == [n[0] for n in full] and [n[1] for n in tree] == [n[1] for n in full]
     assert len(W.merged([full, stub, full])) == len(full)
+
+
+def test_alignment_of_plain_siblings_is_no_table():
+    """The matching of siblings without blocks of their own is that of the table of lengths, in a fraction of its time."""
+    import random
+    import time
+
+    def table(p, q):
+        rows = [[0] * (len(q) + 1)]
+        for u in p:
+            above, row = rows[-1], [0]
+            for j, v in enumerate(q):
+                best = max(above[j + 1], row[j])
+                row.append(max(best, above[j] + 1) if u == v else best)
+            rows.append(row)
+        out, i, j = [], len(p), len(q)
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out
+
+    def bones(tags, text):
+        return [("#root", list(range(1, len(tags) + 1)), 0, False), *((t, [], text, False) for t in tags)]
+
+    r = random.Random(7)
+    for n in [0, 1, 2, 5, 70, 130] * 10:
+        p, q = (r.choices("abc", k=r.randint(0, n)) for _ in range(2))
+        assert W.align(bones(p, 1), bones(q, 2)) == {0: 0} | {i + 1: j + 1 for i, j in table(p, q)}
+    p, q = (r.choices(["p", "h2"], k=490) for _ in range(2))
+    began = time.process_time()
+    expected = table(p, q)
+    plain = time.process_time() - began
+    began = time.process_time()
+    found = W.align(bones(p, 1), bones(q, 2))
+    assert time.process_time() - began < plain / 4
+    assert found == {0: 0} | {i + 1: j + 1 for i, j in expected}
